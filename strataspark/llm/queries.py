@@ -4,17 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from strataspark.llm.byte_bpe import encode_documents
 from strataspark.llm.exact_dedup import exact_duplicates
 from strataspark.llm.quality_rules import quality_rules
+from strataspark.llm.token_counts import prefix_counts
+
+TOKEN_LIMIT = 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: tested against the reference library of the rank file."""
+    docs = table(spark, sf_dir, "documents")
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False).drop("ids")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,9 +34,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: tested against the library's encoding of every prefix."""
+    docs = table(spark, sf_dir, "documents")
+    return prefix_counts(docs, public_tokenizers.path("word_bpe_49k.json"), TOKEN_LIMIT, store=False).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chunks")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op6_token_counts": op6_token_counts,
 }
 
 OP3_SQL = """

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strataspark.llm.byte_bpe import encode_documents
 from strataspark.llm.exact_dedup import exact_duplicates
+from strataspark.llm.packing import pack_documents
 from strataspark.llm.quality_rules import quality_rules
+from strataspark.llm.storage import new_path
 from strataspark.llm.token_counts import prefix_counts
+from strataspark.llm.token_records import with_starts, write_index, write_records
 
 TOKEN_LIMIT = 2048
 
@@ -40,11 +43,32 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts(docs, public_tokenizers.path("word_bpe_49k.json"), TOKEN_LIMIT, store=False).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chunks")
 
 
+def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: tested by an exact round trip."""
+    path = new_path(spark, "token-records")
+    write_records(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    index = write_index(spark, path, f"{path}-index")
+    return with_starts(index).selectExpr("row_key AS doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, with_ids=False).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: tested against the library's ids and for exact cover."""
+    return packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op6_token_counts": op6_token_counts,
+    "op9_token_records": op9_token_records,
+    "op10_packing": op10_packing,
 }
 
 OP3_SQL = """

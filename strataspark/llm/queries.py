@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strataspark.llm.byte_bpe import encode_documents
 from strataspark.llm.exact_dedup import exact_duplicates
+from strataspark.llm.near_dedup import near_duplicates
 from strataspark.llm.packing import pack_documents
 from strataspark.llm.quality_rules import quality_rules
 from strataspark.llm.storage import new_path
@@ -43,6 +44,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts(docs, public_tokenizers.path("word_bpe_49k.json"), TOKEN_LIMIT, store=False).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chunks")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: tested by an exact round trip."""
     path = new_path(spark, "token-records")
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op6_token_counts": op6_token_counts,
+    "op8_near_dedup": op8_near_dedup,
     "op9_token_records": op9_token_records,
     "op10_packing": op10_packing,
 }

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strataspark.llm.byte_bpe import encode_documents
 from strataspark.llm.exact_dedup import exact_duplicates
+from strataspark.llm.language_id import learn_prototypes, predict_language
 from strataspark.llm.near_dedup import near_duplicates
 from strataspark.llm.packing import pack_documents
+from strataspark.llm.quality_mil import learn_quality, score_quality
 from strataspark.llm.quality_rules import quality_rules
+from strataspark.llm.split import held_out
 from strataspark.llm.storage import new_path
 from strataspark.llm.token_counts import prefix_counts
 from strataspark.llm.token_records import with_starts, write_index, write_records
@@ -38,12 +42,26 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: tested by held-out accuracy."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = learn_quality(docs, labels.filter(~held_out(F.col("doc_id"))))
+    return score_quality(docs, model, carry=(held_out(F.col("doc_id")).alias("held_out"),))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: tested against the library's encoding of every prefix."""
     docs = table(spark, sf_dir, "documents")
     return prefix_counts(docs, public_tokenizers.path("word_bpe_49k.json"), TOKEN_LIMIT, store=False).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chunks")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: tested by held-out accuracy."""
+    docs = table(spark, sf_dir, "documents")
+    prototypes = learn_prototypes(docs.filter(~held_out(F.col("doc_id"))))
+    return predict_language(docs, prototypes, carry=(held_out(F.col("doc_id")).alias("held_out"),))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
@@ -71,7 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_quality_mil": op5_quality_mil,
     "op6_token_counts": op6_token_counts,
+    "op7_language_id": op7_language_id,
     "op8_near_dedup": op8_near_dedup,
     "op9_token_records": op9_token_records,
     "op10_packing": op10_packing,

@@ -1,15 +1,78 @@
-"""The corpus pipeline: each stage applies one operator to all rows its predecessor kept."""
+"""The corpus pipeline: each stage applies one operator to all rows that its predecessor kept.
+
+Stages: quality rules, language ID, exact dedup, near-duplicates, packing. All but the last return the columns of
+``documents``; each stage's result is written as Parquet and read again before the next. There is no SQL for the whole:
+language ID, banding and tokens cannot be said in it; the stages are tested against brute force.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataspark.llm.exact_dedup import exact_duplicates
+from strataspark.llm.language_id import learn_prototypes, predict_language
+from strataspark.llm.near_dedup import near_duplicates
+from strataspark.llm.packing import pack_documents
+from strataspark.llm.quality_rules import quality_rules
+from strataspark.llm.storage import materialise
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document whose best cosine is below this reads like none of the learned languages.
+MIN_LANGUAGE_SCORE = 0.05
+#: The pipeline's near-duplicates: five words, a similarity of 0.8 or more.
+SHINGLE, PERCENT = 5, 80
+
+
+def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is among the kept ones; repeated rows of one id are left as they are."""
+    kept = materialise(verdicts.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept-ids")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail a rule or whose host is blocked."""
+    return _keep(docs, quality_rules(docs))
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters and those that read like no learned language."""
+    rest = tuple(F.col(c) for c in COLUMNS[1:])  # carried along, so that no row has to be found again
+    found = predict_language(docs, learn_prototypes(docs), carry=rest)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*COLUMNS)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the row with the largest id of each group of equal texts."""
+    return _keep(docs, exact_duplicates(docs))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near-duplicates."""
+    return _keep(docs, near_duplicates(docs, shingle=SHINGLE, percent=PERCENT))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all remaining documents with their places in sequences."""
+    packed = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, with_ids=False)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

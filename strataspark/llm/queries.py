@@ -19,14 +19,29 @@ from strataspark.llm.split import held_out
 from strataspark.llm.storage import new_path
 from strataspark.llm.token_counts import prefix_counts
 from strataspark.llm.token_records import with_starts, write_index, write_records
+from strataspark.llm.url_filter import filter_urls
 
 TOKEN_LIMIT = 2048
+#: The contract's rules.
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL for the trees: hosts, paths and rules are tested against brute force."""
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: tested against the reference library of the rank file."""
     docs = table(spark, sf_dir, "documents")
@@ -86,6 +101,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,

@@ -178,7 +178,7 @@ def q_block_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q,
              CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS layer FROM lineitem),
 t AS (SELECT *, CASE WHEN q % 7 = 0 THEN 'absent' WHEN q % 5 = 0 THEN 'zero' ELSE 'data' END AS state FROM s),
-r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY layer, l_partkey, l_suppkey) AS n FROM t WHERE state <> 'absent'),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY layer, l_partkey, l_suppkey, CASE WHEN state = 'data' THEN q ELSE 0 END) AS n FROM t WHERE state <> 'absent'),
 k AS (SELECT DISTINCT l_orderkey, l_linenumber FROM s)
 SELECT k.l_orderkey, k.l_linenumber, r.layer, CASE WHEN r.state = 'data' THEN r.q ELSE 0 END AS value
 FROM k LEFT JOIN r ON k.l_orderkey = r.l_orderkey AND k.l_linenumber = r.l_linenumber AND n = 1

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from pathlib import Path
@@ -26,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.chunked import ChunkCache, blocks, spaced_chunks, texts_of
+from strataspark.llm.chunked import ChunkCache, joined_texts, small_batches, texts_of
 
 #: Pair ranks remembered by a worker before it starts anew.
 PAIR_ENTRIES = 1_000_000
@@ -48,36 +47,37 @@ class MergeReplay:
         self.words = ChunkCache(self._encode_words)
         self.chunks = ChunkCache(self._encode_chunks)
 
-    def _pair(self, a: int, b: int) -> int | None:
-        """The rank of what two neighbours make, or None."""
-        key = (a, b)
-        try:
-            return self.pairs[key]
-        except KeyError:
-            if len(self.pairs) > PAIR_ENTRIES:
-                self.pairs.clear()
-            made = self.pairs[key] = self.ranks.get(self.token[a] + self.token[b])
-            return made
+    def _pair(self, key: tuple[int, int]) -> int:
+        """The rank of what two neighbours make, -1 if they make nothing; remembered in ``pairs``."""
+        if len(self.pairs) > PAIR_ENTRIES:
+            self.pairs.clear()
+        a, b = key
+        made = self.pairs[key] = -1 if a < 0 or b < 0 else self.ranks.get(self.token[a] + self.token[b], -1)
+        return made
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
-        """The tokens of each word."""
-        symbol: list[int] = []
-        ends = []
+        """The tokens of each word. A word that is itself a token is that token, as the library has it."""
+        symbol: list[int] = [-1]  # a mark before, between and after the words, which makes nothing with any neighbour
+        starts = []
         for word in words:
-            symbol.extend(map(self.single.__getitem__, word))
-            ends.append(len(symbol))
+            starts.append(len(symbol))
+            if (whole := self.ranks.get(word)) is None:
+                symbol.extend(map(self.single.__getitem__, word))
+            else:
+                symbol.append(whole)
+            symbol.append(-1)
         after = list(range(1, len(symbol) + 1))
         before = list(range(-1, len(symbol) - 1))
-        start = 0
-        for end in ends:
-            if end > start:
-                before[start] = after[end - 1] = -1
-            start = end
-        pair = self._pair
-        where: dict[int, list[int]] = defaultdict(list)
-        for i, j in enumerate(after):
-            if j > 0 and (made := pair(symbol[i], symbol[j])) is not None:
-                where[made].append(i)
+        pair, known = self._pair, self.pairs.get
+        where: dict[int, list[int]] = {}
+        for i, key in enumerate(zip(symbol, symbol[1:], strict=False)):
+            if (made := known(key)) is None:
+                made = pair(key)
+            if made >= 0:
+                if made in where:
+                    where[made].append(i)
+                else:
+                    where[made] = [i]
         ranks = list(where)
         heapify(ranks)
         while ranks:
@@ -87,63 +87,78 @@ class MergeReplay:
                 continue
             at.sort()
             for k, i in enumerate(at):
+                a = symbol[i]
+                if a < 0:
+                    continue
                 j = after[i]
-                if j < 0 or symbol[i] < 0 or pair(symbol[i], symbol[j]) != rank:
+                if known((a, symbol[j])) != rank:
                     continue
-                symbol[i], symbol[j] = rank, -1
-                right = after[i] = after[j]
-                left, lower = before[i], False
-                for p, q in ((left, i), (i, right)):
-                    if p >= 0 and q >= 0 and (made := pair(symbol[p], symbol[q])) is not None:
-                        if made not in where:
-                            heappush(ranks, made)
-                        where[made].append(p)
-                        lower |= made < rank
-                if right >= 0:
-                    before[right] = i
+                symbol[i] = rank
+                symbol[j] = -2
+                left, right = before[i], after[j]
+                after[i], before[right] = right, i
+                lower = False
+                key = (symbol[left], rank)
+                if (made := known(key)) is None:
+                    made = pair(key)
+                if made >= 0:
+                    if made in where:
+                        where[made].append(left)
+                    else:
+                        where[made] = [left]
+                        heappush(ranks, made)
+                    lower = made < rank
+                key = (rank, symbol[right])
+                if (made := known(key)) is None:
+                    made = pair(key)
+                if made >= 0:
+                    if made in where:
+                        where[made].append(i)
+                    else:
+                        where[made] = [i]
+                        heappush(ranks, made)
+                    lower = lower or made < rank
                 if lower and k + 1 < len(at):  # a lower rank goes first
                     if rank not in where:
                         heappush(ranks, rank)
-                    where[rank].extend(at[k + 1 :])
+                    where.setdefault(rank, []).extend(at[k + 1 :])
                     break
-        out, start = [], 0
-        for end in ends:
-            out.append([x for x in symbol[start:end] if x >= 0])
-            start = end
-        return out
+        ends = [*starts[1:], len(symbol)] if starts else []
+        return [[x for x in symbol[s:e] if x >= 0] for s, e in zip(starts, ends, strict=True)]
 
-    def _encode_chunks(self, chunks: list[str]) -> list[tuple[int, bytes, bytes]]:
-        """For each chunk: how many ids, the ids in decimal with a space before each, and the bytes the ids decode to."""
-        split = list(map(self.split, chunks))
+    def _encode_chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
+        """For each chunk: its ids in decimal with a space before each, and the bytes the ids decode to."""
+        split = list(map(self._split, chunks))
         known = self.words.learn(set().union(*split))
         out = []
         for words in split:
             found = [known[w] for w in words]
-            out.append(found[0] if len(found) == 1 else tuple(map(_joined, zip(*found, strict=True))) if found else (0, b"", b""))
+            out.append(found[0] if len(found) == 1 else (b"".join([x for x, _ in found]), b"".join([x for _, x in found])))
         return out
 
-    def _encode_words(self, words: list[str]) -> list[tuple[int, bytes, bytes]]:
-        return [(len(ids), b"".join([b" %d" % i for i in ids]), self.decode(ids)) for ids in self.replay([w.encode() for w in words])]
+    def _split(self, chunk: str) -> list[str]:
+        """The pattern's matches; the two usual shapes, a word and a word with one mark after it, without the pattern."""
+        if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            return [chunk]
+        if chunk[-1:] in (".", ",") and chunk[0] == " " and chunk[1:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.split(chunk)
+
+    def _encode_words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        return [(b"".join([b" %d" % i for i in ids]), self.decode(ids)) for ids in self.replay([w.encode() for w in words])]
 
-    def parts(self, texts: list[str]) -> Iterator[list[tuple[int, bytes, bytes]]]:
-        """Each text's chunks in order, encoded."""
-        for block in blocks(texts):
-            cut = list(map(spaced_chunks, block))
-            known = self.chunks.learn(set().union(*cut))
-            for chunks in cut:
-                yield list(map(known.__getitem__, chunks))
+    def encode_written(self, texts: list[str]) -> Iterator[list[bytes]]:
+        """For each text: its ids in decimal with a space before each, and the bytes they decode to."""
+        for found in joined_texts(texts, True, self.chunks):
+            yield found or [b"", b""]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in next(self.parts([text])) for i in ids.split()]
+        return list(map(int, next(self.encode_written([text]))[0].split()))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-def _joined(values: tuple) -> int | bytes:
-    return sum(values) if isinstance(values[0], int) else b"".join(values)
-
-
 _HELD: dict[tuple, MergeReplay] = {}
 
 
@@ -166,13 +181,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _replay(lines.value, pattern)
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, n, digest, decoded = [], [], [], []
-            for parts in coder.parts(texts_of(batch.column(1))):
-                ids.append([int(i) for _, x, _ in parts for i in x.split()] if with_ids else None)
-                n.append(sum(x for x, _, _ in parts))
-                digest.append(hashlib.sha256(b"".join(x for _, x, _ in parts)[1:]).hexdigest())
-                decoded.append(hashlib.sha256(b"".join(x for _, _, x in parts)).hexdigest())
+            for written, plain in coder.encode_written(texts_of(batch.column(1))):
+                ids.append(list(map(int, written.split())) if with_ids else None)
+                n.append(written.count(b" "))
+                digest.append(hashlib.sha256(written[1:]).hexdigest())
+                decoded.append(hashlib.sha256(plain).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())],
                 names=["row_key", "ids", "n_tokens", "ids_sha256", "decoded_sha256"],

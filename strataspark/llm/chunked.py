@@ -7,10 +7,13 @@ was met before costs one dictionary lookup.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Unicode's White_Space characters, as the tokenizers' patterns understand ``\\s``.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -19,8 +22,8 @@ _LONG_RUN = re.compile(f"[{WHITE}] (?:[{WHITE}]|\\Z)")
 _RUN_AND_WORD = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+\\Z")
 
 #: Characters and entries of a cache's generation, and characters of text encoded at once.
-CACHE_CHARS = 4_000_000
-CACHE_ENTRIES = 250_000
+CACHE_CHARS = 6_000_000
+CACHE_ENTRIES = 300_000
 BLOCK_CHARS = 3_000_000
 
 
@@ -29,7 +32,8 @@ def spaced_chunks(text: str) -> list[str]:
     if _LONG_RUN.search(text):
         return _RUN_AND_WORD.findall(text)
     first, *rest = text.split(" ")
-    return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
+    out = [f" {x}" for x in rest]
+    return [first, *out] if first else out
 
 
 def word_chunks(text: str) -> list[str]:
@@ -44,22 +48,28 @@ class ChunkCache:
     So a worker's memory does not grow with the corpus, and frequent chunks stay.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable]) -> None:
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], Iterable], entries: int = CACHE_ENTRIES) -> None:
+        self.encode, self.entries = encode, entries
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
         self.chars = 0
 
     def learn(self, needed: set[str]) -> dict[str, object]:
         """Encode what is not known yet of these chunks, all at once; gives a dictionary that holds them all."""
-        if len(self.young) > CACHE_ENTRIES or self.chars > CACHE_CHARS:
+        if len(self.young) > self.entries or self.chars > CACHE_CHARS:
             self.old, self.young, self.chars = self.young, {}, 0
         missing = needed.difference(self.young)
-        again = missing.intersection(self.old)
-        self.young.update((x, self.old[x]) for x in again)
-        new = list(missing.difference(again))
+        old = self.old
+        self.young.update([(x, old[x]) for x in missing if x in old])
+        new = [x for x in missing if x not in old]
         self.chars += sum(map(len, missing))
-        self.young.update(zip(new, self.encode(new), strict=True))
+        collecting = gc.isenabled()
+        gc.disable()  # many small values and no cycles: nothing to look for meanwhile
+        try:
+            self.young.update(zip(new, self.encode(new), strict=True))
+        finally:
+            if collecting:
+                gc.enable()
         return self.young
 
 
@@ -76,6 +86,66 @@ def blocks(texts: list[str], chars: int = BLOCK_CHARS) -> Iterator[list[str]]:
         yield block
 
 
+def cut_block(texts: list[str], spaced: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct chunks of some texts, the number of each chunk in text order, and where each text's chunks start.
+
+    Texts are cut at single spaces, and without ``spaced`` at line breaks; such chunks equal ``spaced_chunks`` where a text
+    has no long run of white space, and ``word_chunks`` with empty chunks left in.
+    """
+    column = pa.array(texts, pa.string())
+    if not spaced:
+        column = pc.replace_substring(column, "\n", " ")
+    lists = pc.split_pattern(column, " ")
+    starts = lists.offsets.to_numpy()
+    numbered = lists.values.dictionary_encode()
+    chunks, index = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().astype(np.int64)
+    if spaced:  # all but a text's first chunk have their space
+        heads = lists.values.take(lists.offsets[:-1]).to_pylist()
+        chunks = [" " + x for x in chunks]
+        first = {x: len(chunks) + i for i, x in enumerate(dict.fromkeys(heads))}
+        index[starts[:-1]] = [first[x] for x in heads]
+        chunks += first
+    return chunks, index, starts
+
+
+def joined(texts: list[str], spaced: bool, cache: ChunkCache) -> list[list[bytes]]:
+    """For each text the bytes that its chunks have in the cache, joined; one list per part of the cache's values."""
+    if not texts:
+        return []
+    chunks, index, starts = cut_block(texts, spaced)
+    known = cache.learn(set(chunks))
+    values = list(map(known.__getitem__, chunks))
+    out = []
+    for part in zip(*values, strict=True):
+        column = pa.array(part, pa.binary()).take(pa.array(index))
+        out.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(starts), column), pa.scalar(b"", pa.binary())).to_pylist())
+    return [list(x) for x in zip(*out, strict=True)]
+
+
+def joined_texts(texts: list[str], spaced: bool, cache: ChunkCache, whole: Callable[[str], bool] = lambda _: False) -> Iterator[list[bytes] | None]:
+    """The same for any number of texts, block by block; None for those that ``whole`` picks to be encoded otherwise."""
+    for block in blocks(texts):
+        odd = [whole(x) for x in block]
+        slow = [not o and spaced and _LONG_RUN.search(x) is not None for x, o in zip(block, odd, strict=True)]
+        fast = iter(joined([x for x, o, s in zip(block, odd, slow, strict=True) if not (o or s)], spaced, cache))
+        for text, o, s in zip(block, odd, slow, strict=True):
+            if o:
+                yield None
+            elif s:
+                chunks = spaced_chunks(text)
+                known = cache.learn(set(chunks))
+                yield [b"".join(x) for x in zip(*map(known.__getitem__, chunks), strict=True)]
+            else:
+                yield next(fast)
+
+
+def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that hold little memory at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """A batch's texts; null is the empty text."""
     return [x or "" for x in column.to_pylist()]

@@ -5,17 +5,30 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Callable, Iterator
+import unicodedata
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 
-from strataspark.llm.chunked import ChunkCache, blocks, spaced_chunks, word_chunks
+from strataspark.llm.chunked import ChunkCache, joined_texts
 
 
-#: Stands between two chunks in a text for the library, and so many chunks make one text.
-MARK = "\x01"
+#: So many words make one text, and so many texts go to the library at once.
 LINE_CHUNKS = 500
+LINES = 20
+#: The end of the Latin blocks; words beyond go through the library's whole chain.
+LATIN_END = "\u0250"
+
+
+def byte_alphabet() -> list[str]:
+    """How byte-level vocabularies write bytes: printable Latin-1 stands for itself, the others follow from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+_WRITTEN = byte_alphabet()
 
 
 class LibraryEncoder:
@@ -29,44 +42,71 @@ class LibraryEncoder:
         parsed = json.loads(definition)
         self.tokenizer = Tokenizer.from_str(definition)
         self.special = [x["content"] for x in parsed["added_tokens"]]
-        by_word = bool(parsed["model"].get("end_of_word_suffix"))
-        self.cut: Callable[[str], list[str]] = word_chunks if by_word else spaced_chunks
-        # The mark is a control character between white space. A chunk that holds it, or that could grow together with
-        # it, is encoded alone: byte-level chunks that do not start with their one space or that end with white space.
-        self.mark = f" {MARK} " if by_word else f"\n{MARK}"
-        self.joins: Callable[[str], bool] = (lambda c: MARK not in c) if by_word else (lambda c: c[0] == " " and MARK not in c and not c[-1].isspace() and len(c) > 1)
-        self.mark_ids = self.tokenizer.encode(f"x{self.mark}"[1:], add_special_tokens=False).ids
+        by_word = self.by_word = bool(parsed["model"].get("end_of_word_suffix"))
+        bare = parsed | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None}
+        self.lean = Tokenizer.from_str(json.dumps(bare))
+        vocabulary = parsed["model"]["vocab"]
+        self.edges = np.zeros(max(vocabulary.values()) + 1, bool)
+        end, start = parsed["model"].get("end_of_word_suffix"), _WRITTEN[32]
+        self.edges[[i for x, i in vocabulary.items() if (x.endswith(end) if by_word else x.startswith(start))]] = True
+        self.marks = {x: self._encode([x])[0] for x in ".,"}
         self.known = ChunkCache(self._encode_chunks)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Many short chunks go to the library as few texts, with a mark between two chunks that stays a word of its own."""
-        joins = [self.joins(c) for c in chunks]
-        many = [c for c, j in zip(chunks, joins, strict=True) if j]
-        lines = [self.mark.join(many[i : i + LINE_CHUNKS]) for i in range(0, len(many), LINE_CHUNKS)]
-        together: list[bytes] = []
-        for ids, start in zip(self._encode(lines), range(0, len(many), LINE_CHUNKS), strict=True):
-            ends = np.flatnonzero(np.frombuffer(ids, "<u4") == self.mark_ids[-1]) * 4
-            width = 4 * len(self.mark_ids)
-            at = [0, *(ends + 4).tolist()]
-            to = [*(ends + 4 - width).tolist(), len(ids)]
-            found = [ids[a:b] for a, b in zip(at, to, strict=True)]
-            if len(found) != len(many[start : start + LINE_CHUNKS]):
-                raise ValueError("the mark between chunks was not kept apart")
-            together += found
-        alone = self._encode([c for c, j in zip(chunks, joins, strict=True) if not j])
-        one, other = iter(together), iter(alone)
-        return [next(one) if j else next(other) for j in joins]
+    def _stem(self, chunk: str) -> str:
+        """A word without the full stop or comma after it, which is a word of its own, and in lower case if that is the same."""
+        if chunk[-1] in ".," and self._plain(chunk[:-1]):
+            chunk = chunk[:-1]
+        return chunk.lower() if self.by_word and self._plain(chunk) else chunk
+
+    def _plain(self, chunk: str) -> bool:
+        """One word of Latin letters, after the one space that byte-level chunks start with: the normaliser only puts it in
+        lower case and the splitter leaves it whole."""
+        word = chunk if self.by_word else chunk[1:]
+        if not word.isalpha() or not (self.by_word or chunk[0] == " "):
+            return False
+        return word.isascii() or max(word) < LATIN_END and len(word.lower()) == len(word) and unicodedata.is_normalized("NFC", word)
+
+    def _words(self, chunks: list[str]) -> list[bytes]:
+        """Plain words go to the library's model without its normaliser and splitter, many to a text. Their ids are told apart
+        by the token that ends, or starts, a word."""
+        written = [x if x.isascii() and self.by_word else "".join(map(_WRITTEN.__getitem__, x.encode())) for x in chunks]
+        out: list[bytes] = []
+        for first in range(0, len(written), LINE_CHUNKS * LINES):
+            some = written[first : first + LINE_CHUNKS * LINES]
+            lines = [" ".join(some[i : i + LINE_CHUNKS]) for i in range(0, len(some), LINE_CHUNKS)]
+            for found in self.lean.encode_batch_fast(lines, add_special_tokens=False):
+                ids = np.array(found.ids, "<u4")
+                edge = np.flatnonzero(self.edges[ids]) * 4
+                edge = [0, *(edge + 4).tolist()] if self.by_word else [*edge.tolist(), 4 * len(ids)]
+                data = ids.tobytes()
+                out += [data[a:b] for a, b in zip(edge, edge[1:], strict=False)]
+        if len(out) != len(chunks):
+            raise ValueError("words were not kept apart")
+        return out
+
+    def _encode_chunks(self, chunks: list[str]) -> list[tuple[bytes]]:
+        young, old = self.known.young, self.known.old
+        stems = [self._stem(x) if x else x for x in chunks]
+        new = [x for x in set(stems) if x and x not in young and x not in old]
+        plain = [x for x in new if self._plain(x)]
+        found = dict(zip(plain, self._words(plain), strict=True))
+        other = [x for x in new if x not in found]
+        for i in range(0, len(other), LINE_CHUNKS):
+            found.update(zip(other[i : i + LINE_CHUNKS], self._encode(other[i : i + LINE_CHUNKS]), strict=True))
+        young.update((x, (ids,)) for x, ids in found.items())
+        out = []
+        for chunk, stem in zip(chunks, stems, strict=True):
+            ids = young.get(stem) or old.get(stem) or (b"",)
+            out.append(ids if len(chunk) == len(stem) else (ids[0] + self.marks[chunk[-1]],))
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for block in blocks(texts):
-            plain = [not any(s in t for s in self.special) for t in block]
-            cut = [self.cut(t) if p else [] for t, p in zip(block, plain, strict=True)]
-            known = self.known.learn(set().union(*cut))
-            for text, chunks, p in zip(block, cut, plain, strict=True):
-                yield b"".join(map(known.__getitem__, chunks)) if p else self._encode([text])[0]
+        special = lambda text: any(s in text for s in self.special)
+        for text, found in zip(texts, joined_texts(texts, not self.by_word, self.known, special), strict=True):
+            yield self._encode([text])[0] if found is None else found[0]
 
 
 _HELD: dict[bytes, LibraryEncoder] = {}

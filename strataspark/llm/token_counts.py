@@ -24,12 +24,15 @@ from collections.abc import Iterator
 from itertools import accumulate
 from pathlib import Path
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.chunked import ChunkCache, blocks, texts_of, word_chunks
+from strataspark.llm.chunked import ChunkCache, blocks, cut_block, small_batches, texts_of
+from strataspark.llm.library_bpe import byte_alphabet
 
 #: Compatible pairs and words remembered by a worker before it starts anew.
 PAIR_ENTRIES = 1_000_000
@@ -40,6 +43,9 @@ _ASCII = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
 
 
+_WRITTEN = byte_alphabet()
+
+
 def _one(lowered: str) -> bool:
     return len(lowered) == 1
 
@@ -52,21 +58,26 @@ class PrefixCounter:
         model = parsed["model"]
         self.end = model["end_of_word_suffix"]
         self.merges = {tuple(x) if isinstance(x, list) else tuple(x.split(" ")): i for i, x in enumerate(model["merges"])}
-        # Each token's text: 1 if it is a token inside a word, 2 at a word's end, 3 both.
-        self.kinds: dict[str, int] = {}
+        # Each token's text: 1 if it is a token inside a word, 2 at a word's end, 3 both. The automaton finds, for every
+        # place in a word, the tokens that end there.
+        kinds: dict[str, int] = {}
         for x in model["vocab"]:
             ended = x.endswith(self.end)
             text = x[: -len(self.end)] if ended else x
-            self.kinds[text] = self.kinds.get(text, 0) | 1 + ended
-        self.longest: dict[str, int] = {}  # of the tokens with these last three characters
-        for x in self.kinds:
-            self.longest[x[-3:]] = max(len(x), self.longest.get(x[-3:], 0))
+            kinds[text] = kinds.get(text, 0) | 1 + ended
+        self.ending = ahocorasick.Automaton()
+        for text, kind in kinds.items():
+            self.ending.add_word(text, (text, len(text), kind))
+        self.ending.make_automaton()
         self.special = [x["content"] for x in parsed["added_tokens"]]
         tokenizer = Tokenizer.from_str(definition)
         self.normalise, self.split = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
-        self.fits: dict[tuple[str, str, bool], bool] = {}
+        # By left token (empty: a word's start): whether a right token, open or ended, fits it.
+        self.fits: dict[str, tuple[str, dict[str, bool], dict[str, bool]]] = {}
+        self.pairs = 0
         self.known = ChunkCache(lambda chunks: list(map(self.chunk, chunks)))
-        self.known_words: dict[str, list[int]] = {}
+        self.known_words: dict[str, array] = {}
+        self.old_words: dict[str, array] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """The merges applied to a few symbols, lowest rank first, leftmost first."""
@@ -78,15 +89,24 @@ class PrefixCounter:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def fit(self, left: str, right: str, ended: bool) -> bool:
+    def right_of(self, left: str) -> tuple[str, dict[str, bool], dict[str, bool]]:
+        found = self.fits.get(left)
+        if found is None:
+            if self.pairs > PAIR_ENTRIES:
+                self.fits.clear()
+                self.pairs = 0
+            found = self.fits[left] = (left, {}, {})
+        return found
+
+    def fit(self, row: tuple[str, dict[str, bool], dict[str, bool]], right: str, ended: bool) -> bool:
         """Whether the encoding of both together is exactly these two tokens; an empty left: whether right is one token."""
-        if len(self.fits) > PAIR_ENTRIES:
-            self.fits.clear()
+        left = row[0]
         last = right + self.end if ended else right
         symbols = [*left, *right]
         if ended:
             symbols[-1] += self.end
-        found = self.fits[left, right, ended] = self.merged(symbols) == ([left, last] if left else [last])
+        found = row[1 + ended][right] = self.merged(symbols) == ([left, last] if left else [last])
+        self.pairs += 1
         return found
 
     def word(self, word: str) -> array:
@@ -94,35 +114,31 @@ class PrefixCounter:
         found = self.known_words.get(word)
         if found is None:
             if len(self.known_words) > WORD_ENTRIES:
-                self.known_words.clear()
-            found = self.known_words[word] = array("I", self._word(word))
-            if word in _LONG_CONTRACTIONS:  # its inner prefix is two words, not one
-                found[1] = self.word(word[0])[0] + self.word(word[1])[0]
+                self.old_words, self.known_words = self.known_words, {}
+            found = self.old_words.get(word)
+            if found is None:
+                found = array("I", self._word(word))
+                if word in _LONG_CONTRACTIONS:  # its inner prefix is two words, not one
+                    found[1] = self.word(word[0])[0] + self.word(word[1])[0]
+            self.known_words[word] = found
         return found
 
     def _word(self, word: str) -> list[int]:
-        kind_of, fits, fit, longest = self.kinds.get, self.fits.get, self.fit, self.longest.get
-        last, count, out = [""], [0], []
-        for p in range(1, len(word) + 1):
-            token_open, n_open, n_ended = "", 0, 0
-            low = p - max(longest(word[max(0, p - 3) : p], 0), 2)
-            for k in range(low if low > 0 else 0, p):
-                token = word[k:p]
-                kind = kind_of(token)
-                if kind is None:
-                    continue
-                left = last[k]
-                if kind & 2 and not n_ended and ((ok := fits((left, token, True))) or ok is None and fit(left, token, True)):
-                    n_ended = count[k] + 1
-                    if token_open:
-                        break
-                if kind & 1 and not token_open and ((ok := fits((left, token, False))) or ok is None and fit(left, token, False)):
-                    token_open, n_open = token, count[k] + 1
-                    if n_ended:
-                        break
-            last.append(token_open)
-            count.append(n_open)
-            out.append(n_ended)
+        n = len(word)
+        rows: list = [None] * (n + 1)  # what fits to the right of each prefix's last token
+        rows[0] = self.right_of("")
+        count, out, fit = [0] * (n + 1), [0] * n, self.fit
+        for end, (token, size, kind) in self.ending.iter(word):
+            k = end + 1 - size
+            row = rows[k]
+            if kind & 2 and not out[end]:
+                ok = row[2].get(token)
+                if ok or ok is None and fit(row, token, True):
+                    out[end] = count[k] + 1
+            if kind & 1 and rows[end + 1] is None:
+                ok = row[1].get(token)
+                if ok or ok is None and fit(row, token, False):
+                    rows[end + 1], count[end + 1] = self.right_of(token), count[k] + 1
         return out
 
     def words(self, text: str) -> list[str]:
@@ -130,6 +146,15 @@ class PrefixCounter:
 
     def chunk(self, text: str) -> array:
         """The token count of every prefix of a chunk, by characters of the text as given."""
+        if not text:
+            return array("I")
+        if text.isascii():
+            if text.isalpha():
+                return self.word(text.lower())
+            if text[-1] in ".," and text[:-1].isalpha():
+                out = array("I", self.word(text[:-1].lower()))
+                out.append(out[-1] + self.word(text[-1])[0])
+                return out
         if text.isascii() and text.isprintable() and "<|" not in text:
             out, before = array("I"), 0
             for word in _ASCII.findall(text.lower()):
@@ -150,6 +175,9 @@ class PrefixCounter:
         return out
 
     def _by_characters(self, text: str) -> array:
+        if text.isalpha():  # one word: its bytes as the byte-level alphabet writes them
+            counts = self.word("".join(map(_WRITTEN.__getitem__, text.encode())))
+            return array("I", [counts[n - 1] for n in accumulate(len(c.encode()) for c in text)])
         out, before = array("I"), 0
         for word, (start, end) in self.split(text):
             counts = self.word(word)
@@ -169,13 +197,15 @@ class PrefixCounter:
             rest = rest[at + len(special) :]
         return total
 
-    def counted(self, texts: list[str]) -> Iterator[list[array]]:
-        """Each text's chunks in order, as stored counts."""
+    def counted(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """For each text, the count at the end of each of its chunks (between single spaces or line breaks)."""
         for block in blocks(texts):
-            cut = list(map(word_chunks, block))
-            known = self.known.learn(set().union(*cut))
-            for chunks in cut:
-                yield list(map(known.__getitem__, chunks))
+            chunks, index, starts = cut_block(block, spaced=False)
+            known = self.known.learn(set(chunks))
+            totals = np.array([known[x][-1] if x else 0 for x in chunks], np.int64)
+            ends = np.cumsum(totals[index])
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                yield ends[a:b] - (ends[a - 1] if a else 0)
 
 
 _HELD: dict[bytes, PrefixCounter] = {}
@@ -198,14 +228,13 @@ def prefix_counts(docs: DataFrame, definition_path: str, limit: int, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(definition.value)
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = texts_of(batch.column(1))
             tokens, fits, stored = [], [], []
-            for parts in counter.counted(texts):
-                ends = list(accumulate(x[-1] for x in parts))
-                tokens.append(ends[-1] if ends else 0)
-                fits.append(sum(x <= limit for x in ends) if tokens[-1] > limit else len(ends))
-                stored.append(ends if store else None)
+            for ends in counter.counted(texts):
+                tokens.append(int(ends[-1]))
+                fits.append(int(np.searchsorted(ends, limit, side="right")))
+                stored.append(ends.tolist() if store else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([x > limit for x in tokens], pa.bool_()), pa.array(fits, pa.int64()), pa.array(stored, pa.list_(pa.int64()))],
                 names=["row_key", "n_bytes", "n_tokens", "over_limit", "fit_chunks", "chunk_tokens"],

@@ -41,11 +41,11 @@ def chunk_table(docs: DataFrame) -> DataFrame:
 
 
 def _patches(docs: DataFrame, recipes: DataFrame, variants: DataFrame) -> DataFrame:
-    """(row_key, patch): for documents with a chunk whose hash has several contents, the variant of each such chunk."""
-    hit = recipes.select("row_key", F.explode("recipe").alias("h")).join(variants.select("h").distinct(), "h", "left_semi").select("row_key").distinct()
-    held = docs.join(hit, "row_key", "left_semi").select("row_key", F.posexplode(chunks(F.col("body"))).alias("pos", "chunk"))
-    found = held.withColumn("h", _hash(F.col("chunk"))).join(variants, ["h", "chunk"])
-    return found.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("pos", "variant"))).alias("patch"))
+    """(text_sha256, patch): for texts with a chunk whose hash has several contents, the variant of each such chunk."""
+    hit = recipes.select("text_sha256", F.explode("recipe").alias("h")).join(variants.select("h").distinct(), "h", "left_semi").select("text_sha256").distinct()
+    held = docs.withColumn("text_sha256", F.sha2("body", 256)).join(hit, "text_sha256", "left_semi")
+    placed = held.select("text_sha256", F.posexplode(chunks(F.col("body"))).alias("pos", "chunk")).withColumn("h", _hash(F.col("chunk")))
+    return placed.join(variants, ["h", "chunk"]).groupBy("text_sha256").agg(F.sort_array(F.collect_set(F.struct("pos", "variant"))).alias("patch"))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,7 +62,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         several = chunk_table(body).join(shared, "h", "left_semi")
         variants = several.groupBy("h").agg(F.sort_array(F.collect_list("chunk")).alias("of")).select("h", F.posexplode("of").alias("variant", "chunk"))
         patches = _patches(body, recipes, variants)
-        named = recipes.join(patches, "row_key", "left").withColumn("patch", F.coalesce("patch", none))
+        named = recipes.join(patches, "text_sha256", "left").withColumn("patch", F.coalesce("patch", none))
     # The groups are written so that the join shuffles both sides itself: AQE can then split the partition of a hot group.
     groups = materialise(named.groupBy("recipe", "patch").agg(F.max("row_key").alias("keep_id"), F.count("*").alias("group_size")), "recipe-groups")
     return named.join(groups, ["recipe", "patch"]).select(

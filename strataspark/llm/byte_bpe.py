@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.chunked import ChunkCache, joined_texts, small_batches, texts_of
+from strataspark.llm.chunked import TAIL, ChunkCache, ColumnCache, joined_texts, small_batches, texts_of
 
 #: Pair ranks remembered by a worker before it starts anew.
 PAIR_ENTRIES = 1_000_000
@@ -45,7 +45,7 @@ class MergeReplay:
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.pairs: dict[tuple[int, int], int | None] = {}
         self.words = ChunkCache(self._encode_words)
-        self.chunks = ChunkCache(self._encode_chunks)
+        self.chunks = ColumnCache(self._encode_chunks, parts=2)
 
     def _pair(self, key: tuple[int, int]) -> int:
         """The rank of what two neighbours make, -1 if they make nothing; remembered in ``pairs``."""
@@ -137,20 +137,18 @@ class MergeReplay:
         return out
 
     def _split(self, chunk: str) -> list[str]:
-        """The pattern's matches; the two usual shapes, a word and a word with one mark after it, without the pattern."""
-        if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
-            return [chunk]
-        if chunk[-1:] in (".", ",") and chunk[0] == " " and chunk[1:-1].isalpha():
-            return [chunk[:-1], chunk[-1]]
+        """The pattern's matches; the two usual shapes, a word and a word with marks after it, without the pattern."""
+        word = chunk.rstrip(TAIL)
+        if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+            return [word, chunk[len(word) :]] if len(word) < len(chunk) else [word]
         return self.split(chunk)
 
     def _encode_words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
         return [(b"".join([b" %d" % i for i in ids]), self.decode(ids)) for ids in self.replay([w.encode() for w in words])]
 
-    def encode_written(self, texts: list[str]) -> Iterator[list[bytes]]:
+    def encode_written(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """For each text: its ids in decimal with a space before each, and the bytes they decode to."""
-        for found in joined_texts(texts, True, self.chunks):
-            yield found or [b"", b""]
+        yield from joined_texts(texts, True, self.chunks)
 
     def encode(self, text: str) -> list[int]:
         return list(map(int, next(self.encode_written([text]))[0].split()))

@@ -21,6 +21,9 @@ WHITE = "\t-\r \x85\xa0  -     　"
 _LONG_RUN = re.compile(f"[{WHITE}] (?:[{WHITE}]|\\Z)")
 _RUN_AND_WORD = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+\\Z")
 
+#: Marks that stand after words and form a word of their own there, in any number.
+TAIL = ".,!?;:#$%&*|()[]{}\"-_/+=~@^<>`\\"
+
 #: Characters and entries of a cache's generation, and characters of text encoded at once.
 CACHE_CHARS = 6_000_000
 CACHE_ENTRIES = 300_000
@@ -36,11 +39,6 @@ def spaced_chunks(text: str) -> list[str]:
     return [first, *out] if first else out
 
 
-def word_chunks(text: str) -> list[str]:
-    """For tokenizers that drop white space: the text between spaces and line breaks."""
-    return [x for x in text.replace("\n", " ").split(" ") if x]
-
-
 class ChunkCache:
     """What each chunk gives, for the chunks of the last few blocks and those met again since.
 
@@ -86,57 +84,85 @@ def blocks(texts: list[str], chars: int = BLOCK_CHARS) -> Iterator[list[str]]:
         yield block
 
 
-def cut_block(texts: list[str], spaced: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
+class ColumnCache:
+    """What each chunk gives, as Arrow columns of bytes: a block's distinct chunks are looked up at once.
+
+    When it is full, the chunks that were needed least recently go. ``encode`` gives a tuple of ``parts`` for each new chunk.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], Iterable[tuple[bytes, ...]]], parts: int, entries: int = CACHE_ENTRIES) -> None:
+        self.encode, self.entries, self.turn = encode, entries, 0
+        self.keys = pa.array([], pa.string())
+        self.parts = [pa.array([], pa.binary()) for _ in range(parts)]
+        self.used = np.zeros(0, np.int64)
+
+    def find(self, chunks: pa.Array) -> list[pa.Array]:
+        """The parts of each of these distinct chunks."""
+        self.turn += 1
+        at = pc.index_in(chunks, value_set=self.keys)
+        missing = chunks.filter(pc.is_null(at)).to_pylist()
+        place = at.fill_null(-1).to_numpy().astype(np.int64)
+        if missing:
+            collecting = gc.isenabled()
+            gc.disable()  # many small values and no cycles: nothing to look for meanwhile
+            try:
+                made = list(zip(*self.encode(missing), strict=True))
+            finally:
+                if collecting:
+                    gc.enable()
+            place[place < 0] = np.arange(len(missing)) + len(self.keys)
+            self.keys = pa.concat_arrays([self.keys, pa.array(missing, pa.string())])
+            self.parts = [pa.concat_arrays([x, pa.array(y, pa.binary())]) for x, y in zip(self.parts, made, strict=True)]
+            self.used = np.concatenate([self.used, np.zeros(len(missing), np.int64)])
+        self.used[place] = self.turn
+        wanted = pa.array(place)
+        found = [x.take(wanted) for x in self.parts]
+        if len(self.keys) > self.entries:
+            kept = pa.array(np.argpartition(self.used, len(self.used) - self.entries * 2 // 3)[-(self.entries * 2 // 3) :])
+            self.keys, self.parts = self.keys.take(kept), [x.take(kept) for x in self.parts]
+            self.used = self.used[kept.to_numpy()]
+        return found
+
+
+def cut_column(texts: list[str], spaced: bool) -> tuple[pa.Array, np.ndarray, pa.Array]:
     """The distinct chunks of some texts, the number of each chunk in text order, and where each text's chunks start.
 
     Texts are cut at single spaces, and without ``spaced`` at line breaks; such chunks equal ``spaced_chunks`` where a text
-    has no long run of white space, and ``word_chunks`` with empty chunks left in.
+    has no long run of white space, and the words between white space, with empty ones left in, without ``spaced``.
     """
     column = pa.array(texts, pa.string())
     if not spaced:
         column = pc.replace_substring(column, "\n", " ")
     lists = pc.split_pattern(column, " ")
-    starts = lists.offsets.to_numpy()
     numbered = lists.values.dictionary_encode()
-    chunks, index = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().astype(np.int64)
+    chunks, index = numbered.dictionary, numbered.indices.to_numpy().astype(np.int64)
     if spaced:  # all but a text's first chunk have their space
-        heads = lists.values.take(lists.offsets[:-1]).to_pylist()
-        chunks = [" " + x for x in chunks]
-        first = {x: len(chunks) + i for i, x in enumerate(dict.fromkeys(heads))}
-        index[starts[:-1]] = [first[x] for x in heads]
-        chunks += first
-    return chunks, index, starts
-
-
-def joined(texts: list[str], spaced: bool, cache: ChunkCache) -> list[list[bytes]]:
-    """For each text the bytes that its chunks have in the cache, joined; one list per part of the cache's values."""
-    if not texts:
-        return []
-    chunks, index, starts = cut_block(texts, spaced)
-    known = cache.learn(set(chunks))
-    values = list(map(known.__getitem__, chunks))
-    out = []
-    for part in zip(*values, strict=True):
-        column = pa.array(part, pa.binary()).take(pa.array(index))
-        out.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(starts), column), pa.scalar(b"", pa.binary())).to_pylist())
-    return [list(x) for x in zip(*out, strict=True)]
-
-
-def joined_texts(texts: list[str], spaced: bool, cache: ChunkCache, whole: Callable[[str], bool] = lambda _: False) -> Iterator[list[bytes] | None]:
+        heads = lists.values.take(lists.offsets[:-1]).dictionary_encode()
+        index[lists.offsets.to_numpy()[:-1]] = heads.indices.to_numpy() + np.int64(len(chunks))
+        chunks = pa.concat_arrays([pc.binary_join_element_wise(" ", chunks, ""), heads.dictionary])
+    return chunks, index, lists.offsets
+
+
+def joined(cut: tuple[pa.Array, np.ndarray, pa.Array], cache: ColumnCache) -> Iterator[tuple[bytes, ...]]:
+    """For each text the bytes that its chunks have in the cache, joined, part by part."""
+    chunks, index, starts = cut
+    nothing = pa.scalar(b"", pa.binary())
+    index = pa.array(index)
+    yield from zip(*(pc.binary_join(pa.ListArray.from_arrays(starts, x.take(index)), nothing).to_pylist() for x in cache.find(chunks)), strict=True)
+
+
+def joined_texts(texts: list[str], spaced: bool, cache: ColumnCache, whole: Callable[[str], bool] = lambda _: False) -> Iterator[tuple[bytes, ...] | None]:
     """The same for any number of texts, block by block; None for those that ``whole`` picks to be encoded otherwise."""
     for block in blocks(texts):
-        odd = [whole(x) for x in block]
-        slow = [not o and spaced and _LONG_RUN.search(x) is not None for x, o in zip(block, odd, strict=True)]
-        fast = iter(joined([x for x, o, s in zip(block, odd, slow, strict=True) if not (o or s)], spaced, cache))
-        for text, o, s in zip(block, odd, slow, strict=True):
-            if o:
-                yield None
-            elif s:
-                chunks = spaced_chunks(text)
-                known = cache.learn(set(chunks))
-                yield [b"".join(x) for x in zip(*map(known.__getitem__, chunks), strict=True)]
-            else:
-                yield next(fast)
+        kind = [0 if whole(x) else 1 if spaced and _LONG_RUN.search(x) else 2 for x in block]
+        quick = [x for x, k in zip(block, kind, strict=True) if k == 2]
+        found = {2: joined(cut_column(quick, spaced), cache) if quick else iter(())}
+        if 1 in kind:
+            lists = pa.array([spaced_chunks(x) for x, k in zip(block, kind, strict=True) if k == 1], pa.list_(pa.string()))
+            numbered = lists.values.dictionary_encode()
+            found[1] = joined((numbered.dictionary, numbered.indices.to_numpy(), lists.offsets), cache)
+        for k in kind:
+            yield next(found[k]) if k else None
 
 
 def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pathlib import Path
 
 import numpy as np
 
-from strataspark.llm.chunked import ChunkCache, joined_texts
+from strataspark.llm.chunked import TAIL, ColumnCache, joined_texts
 
 
 #: So many words make one text, and so many texts go to the library at once.
@@ -49,25 +49,16 @@ class LibraryEncoder:
         self.edges = np.zeros(max(vocabulary.values()) + 1, bool)
         end, start = parsed["model"].get("end_of_word_suffix"), _WRITTEN[32]
         self.edges[[i for x, i in vocabulary.items() if (x.endswith(end) if by_word else x.startswith(start))]] = True
-        self.marks = {x: self._encode([x])[0] for x in ".,"}
-        self.known = ChunkCache(self._encode_chunks)
+        self.known = ColumnCache(self._encode_chunks, parts=1)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _stem(self, chunk: str) -> str:
-        """A word without the full stop or comma after it, which is a word of its own, and in lower case if that is the same."""
-        if chunk[-1] in ".," and self._plain(chunk[:-1]):
-            chunk = chunk[:-1]
-        return chunk.lower() if self.by_word and self._plain(chunk) else chunk
-
-    def _plain(self, chunk: str) -> bool:
-        """One word of Latin letters, after the one space that byte-level chunks start with: the normaliser only puts it in
-        lower case and the splitter leaves it whole."""
-        word = chunk if self.by_word else chunk[1:]
-        if not word.isalpha() or not (self.by_word or chunk[0] == " "):
-            return False
-        return word.isascii() or max(word) < LATIN_END and len(word.lower()) == len(word) and unicodedata.is_normalized("NFC", word)
+    def _plain(self, chunks: list[str]) -> list[bool]:
+        """Which are one word of Latin letters, after the one space that byte-level chunks start with: the normaliser only
+        puts it in lower case and the splitter leaves it whole."""
+        words = chunks if self.by_word else [x[1:] if x[:1] == " " else "" for x in chunks]
+        return [x.isalpha() and (x.isascii() or max(x) < LATIN_END and len(x.lower()) == len(x) and unicodedata.is_normalized("NFC", x)) for x in words]
 
     def _words(self, chunks: list[str]) -> list[bytes]:
         """Plain words go to the library's model without its normaliser and splitter, many to a text. Their ids are told apart
@@ -88,20 +79,21 @@ class LibraryEncoder:
         return out
 
     def _encode_chunks(self, chunks: list[str]) -> list[tuple[bytes]]:
-        young, old = self.known.young, self.known.old
-        stems = [self._stem(x) if x else x for x in chunks]
-        new = [x for x in set(stems) if x and x not in young and x not in old]
-        plain = [x for x in new if self._plain(x)]
-        found = dict(zip(plain, self._words(plain), strict=True))
-        other = [x for x in new if x not in found]
+        """A chunk is a plain word, in lower case if that is the same, and the marks after it, which are a word of their own;
+        or it goes to the library as it is. Words and marks that chunks share are encoded once."""
+        words = [x.rstrip(TAIL) for x in chunks]
+        plain = self._plain(words)
+        tails = [c[len(w) :] if p else "" for c, w, p in zip(chunks, words, plain, strict=True)]
+        if self.by_word:
+            words = [w.lower() for w in words]
+        stems = [w if p else c for c, w, p in zip(chunks, words, plain, strict=True)]
+        distinct = list({w for w, p in zip(words, plain, strict=True) if p})
+        found = dict(zip(distinct, self._words(distinct), strict=True))
+        other = [x for x in {*tails, *(c for c, p in zip(chunks, plain, strict=True) if not p)} if x]
         for i in range(0, len(other), LINE_CHUNKS):
             found.update(zip(other[i : i + LINE_CHUNKS], self._encode(other[i : i + LINE_CHUNKS]), strict=True))
-        young.update((x, (ids,)) for x, ids in found.items())
-        out = []
-        for chunk, stem in zip(chunks, stems, strict=True):
-            ids = young.get(stem) or old.get(stem) or (b"",)
-            out.append(ids if len(chunk) == len(stem) else (ids[0] + self.marks[chunk[-1]],))
-        return out
+        found[""] = b""
+        return [(found[s] + found[t],) if t else (found[s],) for s, t in zip(stems, tails, strict=True)]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         special = lambda text: any(s in text for s in self.special)

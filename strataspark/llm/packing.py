@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataspark.llm.chunked import texts_of
+from strataspark.llm.chunked import small_batches, texts_of
 from strataspark.llm.library_bpe import encoder, read_definition
 from strataspark.llm.storage import materialise
 
@@ -49,7 +49,7 @@ def cut_pieces(docs: DataFrame, definition_path: str, end_id: int, window: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(definition.value)
-        for batch in batches:
+        for batch in small_batches(batches):
             at, start, length, crc, total, held = [], [], [], [], [], []
             for row, encoded in enumerate(coder.encode(texts_of(batch.column(1)))):
                 ids = encoded + end

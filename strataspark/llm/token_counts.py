@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.chunked import ChunkCache, blocks, cut_block, small_batches, texts_of
+from strataspark.llm.chunked import TAIL, ChunkCache, blocks, cut_column, small_batches, texts_of
 from strataspark.llm.library_bpe import byte_alphabet
 
 #: Compatible pairs and words remembered by a worker before it starts anew.
@@ -151,9 +151,10 @@ class PrefixCounter:
         if text.isascii():
             if text.isalpha():
                 return self.word(text.lower())
-            if text[-1] in ".," and text[:-1].isalpha():
-                out = array("I", self.word(text[:-1].lower()))
-                out.append(out[-1] + self.word(text[-1])[0])
+            word = text.rstrip(TAIL)
+            if word.isalpha() and len(word) < len(text):
+                out = array("I", self.word(word.lower()))
+                out.extend([out[-1] + x for x in self.word(text[len(word) :])])
                 return out
         if text.isascii() and text.isprintable() and "<|" not in text:
             out, before = array("I"), 0
@@ -200,7 +201,8 @@ class PrefixCounter:
     def counted(self, texts: list[str]) -> Iterator[np.ndarray]:
         """For each text, the count at the end of each of its chunks (between single spaces or line breaks)."""
         for block in blocks(texts):
-            chunks, index, starts = cut_block(block, spaced=False)
+            distinct, index, offsets = cut_column(block, spaced=False)
+            chunks, starts = distinct.to_pylist(), offsets.to_numpy()
             known = self.known.learn(set(chunks))
             totals = np.array([known[x][-1] if x else 0 for x in chunks], np.int64)
             ends = np.cumsum(totals[index])

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.chunked import blocks, texts_of
+from strataspark.llm.chunked import blocks, small_batches, texts_of
 from strataspark.llm.components import components
 from strataspark.llm.storage import materialise
 
@@ -44,6 +44,8 @@ BANDS = REGISTERS // BAND_ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: Pairs whose estimate is this many standard errors below the threshold are not verified.
 ERRORS = 4.5
+#: Characters hashed at once.
+BLOCK = 500_000
 #: Bits of a register in the bit sketch.
 LANE = 4
 WORDS = REGISTERS * LANE // 64
@@ -83,7 +85,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: list[str], shingle: int) -> Iterator[np.ndarray]:
     """Each text's sorted distinct shingle hashes: ``shingle`` words in lower case (A-Z), or the whole of a shorter text."""
-    for block in blocks(texts):
+    for block in blocks(texts, BLOCK):
         parts = [x.encode("utf-8", "surrogatepass").lower() for x in block]
         data = np.frombuffer(b"\n".join(parts), np.uint8)
         words, starts = word_hashes(data)
@@ -151,7 +153,7 @@ def sketch_documents(docs: DataFrame, shingle: int) -> DataFrame:
     names = [f"s{i}" for i in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             n, digest, regs, bits = [], [], [], []
             for s in shingle_sets(texts_of(batch.column(1)), shingle):
                 n.append(len(s))
@@ -172,7 +174,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     """(id, hashes): the full set, as sorted 64-bit numbers; from (id, body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = [s.tobytes() for s in shingle_sets(texts_of(batch.column(1)), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "hashes"])
 
@@ -185,7 +187,7 @@ def _estimated(pairs: DataFrame, percent: int) -> DataFrame:
     least = j - ERRORS * (j * (1 - j) / REGISTERS) ** 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 2000):
             if batch.num_rows:
                 n_a, n_b = (batch.column(i).to_numpy().astype(float) for i in (2, 3))
                 regs = [np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, REGISTERS) for i in (4, 5)]
@@ -218,7 +220,8 @@ def _checked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, p
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
     likely = materialise(_estimated(pairs.join(side("b"), "b").join(side("a"), "a"), percent).distinct(), "likely-pairs")
     wanted = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-    sets = materialise(_sets(docs.join(wanted, "id").select("id", "body"), shingle), "candidate-sets")
+    # Merged whatever its size now: the candidates grow with the corpus.
+    sets = materialise(_sets(docs.join(wanted.hint("merge"), "id").select("id", "body"), shingle), "candidate-sets")
     return materialise(_verified(likely, sets, percent), "links")
 
 

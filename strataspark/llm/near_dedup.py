@@ -12,8 +12,9 @@ No bucket is expanded into all its pairs:
 1. Rows with equal sets are one class; one row per class goes on.
 2. In each bucket all members are paired with its smallest one only. Verified links give first components.
 3. A link that step 2 cannot have seen joins two different components within a bucket. So, in buckets that still hold
-   several components, members outside the bucket's largest component meet the members of other components, under a bit
-   sketch that discards pairs far below the threshold inside the join. What passes is estimated and verified as before.
+   several components, members outside the bucket's largest component meet the members of other components. In small
+   buckets a bit sketch discards pairs far below the threshold inside the join, and what passes is estimated and verified
+   as before; large buckets are dealt into bounded blocks and compared on the full sets, and only links leave a task.
 4. Components of all links; each row gets its class's smallest reachable id.
 
 Full sets are rebuilt only for candidates. Joins on a hot key have written tables on both sides, so AQE splits them. A
@@ -44,6 +45,8 @@ BANDS = REGISTERS // BAND_ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: Pairs whose estimate is this many standard errors below the threshold are not verified.
 ERRORS = 4.5
+#: Buckets from this size on are compared block by block on the full sets; a block's most rows, and about its most bytes.
+LARGE, BLOCK_ROWS, BLOCK_BYTES = 48, 2048, 16 << 20
 #: Characters hashed at once.
 BLOCK = 500_000
 #: Bits of a register in the bit sketch.
@@ -215,14 +218,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
 
 
-def _checked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links among distinct candidate pairs (a, b): estimated, then verified."""
+def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The distinct candidate pairs (a, b) whose joint estimate may reach the threshold."""
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
-    likely = materialise(_estimated(pairs.join(side("b"), "b").join(side("a"), "a"), percent).distinct(), "likely-pairs")
-    wanted = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-    # Merged whatever its size now: the candidates grow with the corpus.
-    sets = materialise(_sets(docs.join(wanted.hint("merge"), "id").select("id", "body"), shingle), "candidate-sets")
-    return materialise(_verified(likely, sets, percent), "links")
+    return materialise(_estimated(pairs.join(side("b"), "b").join(side("a"), "a"), percent).distinct(), "likely-pairs")
+
+
+def _sets_of(wanted: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """The full sets of the wanted ids; merged whatever their number now, as the candidates grow with the corpus."""
+    return materialise(_sets(docs.join(wanted.distinct().hint("merge"), "id").select("id", "body"), shingle), "candidate-sets")
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -240,7 +248,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = materialise(bands.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("size")).filter("size > 1").select("bucket", "first"), "buckets")
     members = materialise(bands.join(full, "bucket"), "members")
     star = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = _checked(star, reps, body, shingle, percent)
+    likely = _likely(star, reps, percent)
+    links = materialise(_verified(likely, _sets_of(_ids(likely), body, shingle), percent), "links")
     late = _late_links(members, links, reps, body, shingle, percent)
     roots = components(links.union(late))
     named = materialise(classes.join(roots, classes["rep"] == roots["node"], "left").select("digest", F.coalesce("root", "rep").alias("component")), "class-components")
@@ -255,14 +264,22 @@ def _late_links(members: DataFrame, links: DataFrame, reps: DataFrame, docs: Dat
     """Links between members of one bucket that are in different components so far."""
     roots = components(links)
     placed = members.select("bucket", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
-    mixed_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
+    sizes = materialise(placed.groupBy("bucket", "comp").agg(F.count("*").alias("size")), "component-sizes")
+    largest = F.max(F.struct("size", "comp"))["comp"].alias("major")
+    open_buckets = sizes.groupBy("bucket").agg(largest, F.sum("size").alias("size"), F.count("*").alias("comps")).filter("comps > 1").select("bucket", "major", "size")
+    lane = [f"s{i}" for i in range(WORDS)]
+    found = materialise(placed.join(open_buckets, "bucket").join(reps.select("id", "n", *lane), "id"), "open-members")
+    few, many = found.filter(F.col("size") < LARGE), found.filter(F.col("size") >= LARGE).drop(*lane)
+    likely = _likely(_met(few, percent), reps, percent)
+    sets = _sets_of(_ids(likely).union(many.select("id")), docs, shingle)
+    return materialise(_verified(likely, sets, percent).union(_block_links(many, sets, percent)).distinct(), "links")
+
+
+def _met(found: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) of members of one small bucket, of different components, that the bit sketch lets pass."""
     lane = [f"s{i}" for i in range(WORDS)]
-    open_members = materialise(placed.join(mixed_buckets, "bucket").join(reps.select("id", "n", *lane), "id"), "open-members")
-    sizes = open_members.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
-    major = sizes.groupBy("bucket").agg(F.max(F.struct("size", "comp"))["comp"].alias("major"))
-    minor = materialise(open_members.join(major, "bucket").filter("comp <> major"), "minor-members")
-    x = minor.select("bucket", *(F.col(c).alias(f"{c}_x") for c in ("id", "comp", "n", "major", *lane)))
-    y = open_members.select("bucket", *(F.col(c).alias(f"{c}_y") for c in ("id", "comp", "n", *lane)))
+    x = found.filter("comp <> major").select("bucket", *(F.col(c).alias(f"{c}_x") for c in ("id", "comp", "n", "major", *lane)))
+    y = found.select("bucket", *(F.col(c).alias(f"{c}_y") for c in ("id", "comp", "n", *lane)))
     j = percent / 100
     # Unequal registers of a pair at the threshold, and of their bits on average half: mean and variance of the distance.
     unequal = REGISTERS * (1 - j)
@@ -271,4 +288,43 @@ def _late_links(members: DataFrame, links: DataFrame, reps: DataFrame, docs: Dat
     once = (F.col("comp_y") == F.col("major_x")) | (F.col("id_x") < F.col("id_y"))
     sized = (100 * F.col("n_x") >= percent * F.col("n_y")) & (100 * F.col("n_y") >= percent * F.col("n_x"))
     met = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("comp_x") != F.col("comp_y")) & once & sized & (distance <= far))
-    return _checked(met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct(), reps, docs, shingle, percent)
+    return met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
+
+
+def _block_links(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of large buckets: members outside the largest component against all, on the full sets, block by block.
+
+    A bucket is dealt into blocks of bounded rows and bytes; a task holds two blocks, and only links leave it.
+    """
+    width = found.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = found.join(width, "bucket").withColumn("own", own).withColumn("minor", F.col("comp") != F.col("major"))
+    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = dealt.filter("minor").select("bucket", F.col("own").alias("i"), F.explode(other).alias("j"), F.lit(0).alias("side"), "id", "comp")
+    right = dealt.select("bucket", F.explode(other).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "id", "comp")
+    rows = left.union(right).join(sets, "id")
+
+    def links(table: pa.Table) -> pa.Table:
+        side, ids, comp = (table.column(c).to_numpy() for c in ("side", "id", "comp"))
+        order = np.argsort(side, kind="stable")
+        n_left = int((side == 0).sum())
+        ids, comp = ids[order], comp[order]
+        hashes = [np.frombuffer(table.column("hashes")[int(k)].as_py(), np.uint64) for k in order]
+        size = np.array([len(h) for h in hashes])
+        owner = np.repeat(np.arange(len(hashes)), size)
+        numbers = np.unique(np.concatenate(hashes), return_inverse=True)[1] if len(hashes) else np.zeros(0, np.int64)
+        shared = np.bincount(numbers[owner < n_left], minlength=numbers.max(initial=0) + 1) * np.bincount(numbers[owner >= n_left], minlength=numbers.max(initial=0) + 1) > 0
+        column = np.cumsum(shared) - 1
+        kept = shared[numbers]
+        owner, column, total = owner[kept], column[numbers[kept]], int(shared.sum())
+        both = np.zeros((n_left, len(hashes) - n_left), np.float32)
+        for first in range(0, total, 2048):
+            mine = (column >= first) & (column < first + 2048)
+            part = np.zeros((len(hashes), min(2048, total - first)), np.float32)
+            part[owner[mine], column[mine] - first] = 1
+            both += part[:n_left] @ part[n_left:].T
+        union = size[:n_left, None] + size[None, n_left:] - both
+        a, b = np.nonzero((100 * both >= percent * union) & (comp[:n_left, None] != comp[None, n_left:]))
+        return pa.table({"a": pa.array(ids[:n_left][a], pa.int64()), "b": pa.array(ids[n_left:][b], pa.int64())})
+
+    return rows.select("bucket", "i", "j", "side", "id", "comp", "hashes").groupBy("bucket", "i", "j").applyInArrow(links, "a long, b long")

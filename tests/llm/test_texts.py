@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataspark.llm import exact_dedup, quality_rules
+from strataspark.llm import exact_dedup, near_dedup, quality_rules
 from strataspark.llm.components import components
 from strataspark.llm.language_id import learn_prototypes, predict_language
 from strataspark.llm.near_dedup import joint_estimate, merge_registers, mixed, near_duplicates, registers
@@ -89,8 +89,12 @@ def near_brute(rows, k, percent):
     return sorted(((i, len(s), least[c], i == least[c]) for (i, _), s, c in zip(rows, sets, comp, strict=True)), key=str)
 
 
-@pytest.mark.parametrize("shingle", [4, 5])
-def test_near_duplicates(table, shingle):
+@pytest.mark.parametrize(("shingle", "large"), [(4, None), (5, 3)])
+def test_near_duplicates(table, monkeypatch, shingle, large):
+    """Also with small buckets compared as the large ones are, in several blocks."""
+    if large:
+        monkeypatch.setattr(near_dedup, "LARGE", large)
+        monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 5)
     got = near_duplicates(table, shingle=shingle).select("doc_id", "n_shingles", "component_id", "kept").collect()
     assert sorted(map(tuple, got), key=str) == near_brute(texts(table), shingle, 80)
 

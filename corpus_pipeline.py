@@ -26,9 +26,11 @@ SHINGLE, PERCENT = 5, 80
 
 
 def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among the kept ones; repeated rows of one id are left as they are."""
+    """The rows of ``docs`` whose id is among the kept ones; repeated rows of one id are left as they are.
+
+    Merged whatever the number of ids now, as it grows with the corpus."""
     kept = materialise(verdicts.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept-ids")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from strataspark.llm.chunked import TAIL, ChunkCache, ColumnCache, joined_texts, small_batches, texts_of
 
-#: Pair ranks remembered by a worker before it starts anew.
+#: Pair ranks remembered by a worker before it starts anew with its next block.
 PAIR_ENTRIES = 1_000_000
 
 
@@ -49,14 +49,14 @@ class MergeReplay:
 
     def _pair(self, key: tuple[int, int]) -> int:
         """The rank of what two neighbours make, -1 if they make nothing; remembered in ``pairs``."""
-        if len(self.pairs) > PAIR_ENTRIES:
-            self.pairs.clear()
         a, b = key
         made = self.pairs[key] = -1 if a < 0 or b < 0 else self.ranks.get(self.token[a] + self.token[b], -1)
         return made
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """The tokens of each word. A word that is itself a token is that token, as the library has it."""
+        if len(self.pairs) > PAIR_ENTRIES:  # not later: positions below are filed by what is known here
+            self.pairs.clear()
         symbol: list[int] = [-1]  # a mark before, between and after the words, which makes nothing with any neighbour
         starts = []
         for word in words:

@@ -12,6 +12,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+from strataspark.llm import byte_bpe
 from strataspark.llm.byte_bpe import MergeReplay, decode_documents, encode_documents, read_ranks
 from strataspark.llm.library_bpe import LibraryEncoder
 from strataspark.llm.packing import pack_documents, pack_histogram
@@ -37,6 +38,16 @@ def test_byte_bpe_is_the_librarys():
         assert own.decode(ids) == text.encode()
 
 
+def test_byte_bpe_is_the_librarys_whatever_the_pair_cache_holds(monkeypatch):
+    ranks = read_ranks(RANKS)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(byte_bpe, "PAIR_ENTRIES", 5)
+    own = MergeReplay(ranks, P.PATTERN)
+    texts = ["internationalisation of Xqzvbnm and Kwyjibo-flummoxing", "aGVsbG8gd29ybGQ 0x7fDeadBeef", *odd_texts(60)]
+    for _ in range(2):
+        assert [list(map(int, ids.split())) for ids, _ in own.encode_written(texts)] == [library.encode_ordinary(x) for x in texts]
+
+
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_chunked_encoding_is_the_librarys(path):
     own, library = LibraryEncoder(open(path).read()), Tokenizer.from_file(path)

@@ -9,20 +9,23 @@ the full sets.
 
 No bucket is expanded into all its pairs:
 
-1. Rows with equal sets are one class; one row per class goes on.
+1. Rows with equal sets are one class; one row per class goes on, under the class's number.
 2. In each bucket all members are paired with its smallest one only. Verified links give first components.
 3. A link that step 2 cannot have seen joins two different components within a bucket. So, in buckets that still hold
    several components, members outside the bucket's largest component meet the members of other components. In small
    buckets a bit sketch discards pairs far below the threshold inside the join, and what passes is estimated and verified
    as before; large buckets are dealt into bounded blocks and compared on the full sets, and only links leave a task.
-4. Components of all links; each row gets its class's smallest reachable id.
+4. Components of all links; each row gets the smallest id of its class's component.
 
 Full sets are rebuilt only for candidates. Joins on a hot key have written tables on both sides, so AQE splits them. A
 pair at the threshold shares none of the 32 bands with probability 5e-8.
 
+A class goes by a number of its own, so links do not depend on ids: texts that share an id are told apart, and rows
+without id carry links like any others.
+
 Defined results: a null or empty text, or one of white space only, has no shingles and is linked with nothing; rows
-with equal sets are linked; rows that repeat an id are one node; a row without id is linked to its class but carries no
-links of its own; an empty table gives an empty result. Texts are read whole. Only the two named columns are read.
+with equal sets are linked; a component has its smallest id, null if no row of it has one; an empty table gives an empty
+result. Texts are read whole. Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -152,7 +155,7 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
 
 
 def sketch_documents(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, n, digest, regs, s0…): set size, digest of the set, registers and bit sketch; from (id, body)."""
+    """(id, text_sha256, n, digest, regs, s0…): set size, digest of the set, registers and bit sketch; from (id, body, text_sha256)."""
     names = [f"s{i}" for i in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,11 +169,11 @@ def sketch_documents(docs: DataFrame, shingle: int) -> DataFrame:
                 bits.append(lanes(sketch) if len(s) else np.zeros(WORDS, np.int64))
             packed = np.array(bits, np.int64).reshape(-1, WORDS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary()), *(pa.array(packed[:, i]) for i in range(WORDS))],
-                names=["id", "n", "digest", "regs", *names],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary()), *(pa.array(packed[:, i]) for i in range(WORDS))],
+                names=["id", "text_sha256", "n", "digest", "regs", *names],
             )
 
-    return docs.mapInArrow(run, ", ".join(["id long, n long, digest binary, regs binary", *(f"{x} long" for x in names)]))
+    return docs.mapInArrow(run, ", ".join(["id long, text_sha256 string, n long, digest binary, regs binary", *(f"{x} long" for x in names)]))
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -224,24 +227,38 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return materialise(_estimated(pairs.join(side("b"), "b").join(side("a"), "a"), percent).distinct(), "likely-pairs")
 
 
-def _sets_of(wanted: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """The full sets of the wanted ids; merged whatever their number now, as the candidates grow with the corpus."""
-    return materialise(_sets(docs.join(wanted.distinct().hint("merge"), "id").select("id", "body"), shingle), "candidate-sets")
+def _sets_of(wanted: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """The full set of each wanted class; merged whatever their number now, as the candidates grow with the corpus.
+
+    A class's text is found by its row's id and text hash; of a row that occurs several times one is taken."""
+    rows = materialise(wanted.distinct().join(reps.select("id", "row_id", "row_sha256", "copies"), "id"), "candidate-rows")
+    body = docs.withColumnRenamed("id", "doc")
+    same = F.col("doc").eqNullSafe(F.col("row_id")) & (F.col("text_sha256") == F.col("row_sha256"))
+    held = lambda copies: body.join(rows.filter(copies).hint("merge"), same).select("id", "body")
+    found = held("copies = 1")
+    if not rows.filter("copies > 1").isEmpty():
+        found = found.union(held("copies > 1").dropDuplicates(["id"]))
+    return materialise(_sets(found, shingle), "candidate-sets")
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: the id, ``n_shingles``, ``component_id`` (the smallest id reachable over links of at least
-    ``percent`` similarity, itself included) and ``kept`` (whether that is its own id)."""
-    body = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row per input row: ``id``, ``text_sha256`` (null as the empty text), ``n`` (shingles), ``root`` (the component's
+    number, null without shingles) and ``component`` (its smallest id)."""
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    body = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"), sha.alias("text_sha256"))
     sketches = materialise(sketch_documents(body, shingle), "sketches")
-    classes = materialise(sketches.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    # Numbered as it is written: whatever the numbers are, all later steps read the same.
+    numbered = sketches.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id())
+    classes = materialise(numbered, "classes")
     lane = [f"s{i}" for i in range(WORDS)]
+    first = sketches.join(classes.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("rep")))
+    one = first.groupBy("node").agg(F.count("*").alias("copies"), F.first(F.struct("text_sha256", "rep", "n", "regs", *lane)).alias("row"))
     reps = materialise(
-        sketches.join(classes.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("id") == F.col("rep"))).select("id", "n", "regs", *lane).dropDuplicates(["id"]), "representatives"
+        one.select(F.col("node").alias("id"), "copies", F.col("row.rep").alias("row_id"), F.col("row.text_sha256").alias("row_sha256"), "row.n", "row.regs", *(f"row.{x}" for x in lane)), "representatives"
     )
     key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("regs", k * (2 * BAND_ROWS) + 1, 2 * BAND_ROWS)))
     bands = reps.select("id", F.explode(key).alias("bucket"))
@@ -249,13 +266,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialise(bands.join(full, "bucket"), "members")
     star = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     likely = _likely(star, reps, percent)
-    links = materialise(_verified(likely, _sets_of(_ids(likely), body, shingle), percent), "links")
+    links = materialise(_verified(likely, _sets_of(_ids(likely), reps, body, shingle), percent), "links")
     late = _late_links(members, links, reps, body, shingle, percent)
-    roots = components(links.union(late))
-    named = materialise(classes.join(roots, classes["rep"] == roots["node"], "left").select("digest", F.coalesce("root", "rep").alias("component")), "class-components")
-    linked = sketches.filter("n > 0").select("id", "n", "digest").join(named, "digest").select("id", "n", "component")
-    alone = sketches.filter("n = 0").select("id", "n", F.col("id").alias("component"))
-    return linked.union(alone).select(
+    roots = components(links.union(late)).withColumnRenamed("root", "found")
+    placed = materialise(classes.join(roots, "node", "left").select("digest", "rep", F.coalesce("found", "node").alias("root")), "class-roots")
+    least = materialise(placed.groupBy("root").agg(F.min("rep").alias("component")), "component-ids")
+    named = materialise(placed.join(least, "root").select("digest", "root", "component"), "class-components")
+    linked = sketches.filter("n > 0").select("id", "text_sha256", "n", "digest").join(named, "digest").select("id", "text_sha256", "n", "root", "component")
+    return linked.union(sketches.filter("n = 0").select("id", "text_sha256", "n", F.lit(None).cast("long").alias("root"), F.col("id").alias("component")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row per input row: the id, ``n_shingles``, ``component_id`` (the smallest id reachable over links of at least
+    ``percent`` similarity, itself included) and ``kept`` (whether that is its own id)."""
+    return near_components(docs, id_col, text_col, shingle, percent).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")
     )
 
@@ -271,7 +295,7 @@ def _late_links(members: DataFrame, links: DataFrame, reps: DataFrame, docs: Dat
     found = materialise(placed.join(open_buckets, "bucket").join(reps.select("id", "n", *lane), "id"), "open-members")
     few, many = found.filter(F.col("size") < LARGE), found.filter(F.col("size") >= LARGE).drop(*lane)
     likely = _likely(_met(few, percent), reps, percent)
-    sets = _sets_of(_ids(likely).union(many.select("id")), docs, shingle)
+    sets = _sets_of(_ids(likely).union(many.select("id")), reps, docs, shingle)
     return materialise(_verified(likely, sets, percent).union(_block_links(many, sets, percent)).distinct(), "links")
 
 

@@ -99,6 +99,21 @@ def test_near_duplicates(table, monkeypatch, shingle, large):
     assert sorted(map(tuple, got), key=str) == near_brute(texts(table), shingle, 80)
 
 
+@pytest.mark.parametrize("large", [None, 3])
+def test_near_duplicates_with_repeated_and_null_ids(spark, monkeypatch, large):
+    """Texts that share an id are told apart, and rows without id are linked like others."""
+    if large:
+        monkeypatch.setattr(near_dedup, "LARGE", large)
+        monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 5)
+    rng = np.random.default_rng(11)
+    a, b, c, d = (prose(rng, 150) for _ in range(4))
+    near = lambda t, k: " ".join([*t.split()[:-1], f"other{k}"])
+    rows = [(1, a), (1, b), (2, near(b, 1)), (3, near(a, 1)), (3, near(a, 1)), (3, c), (None, c), (None, near(c, 1)), (None, near(c, 1))]
+    rows += [(None, d), (None, near(d, 1)), (None, near(d, 2)), (4, near(d, 3)), (None, ""), (None, None), (5, "")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == near_brute([(i, t or "") for i, t in rows], 5, 80)
+
+
 def test_near_duplicates_of_nothing(table):
     assert near_duplicates(table.limit(0)).count() == 0
     assert near_duplicates(table.filter("text is null")).collect()[0]["component_id"] == 1

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strataspark.llm.exact_dedup import exact_duplicates
 from strataspark.llm.language_id import learn_prototypes, predict_language
-from strataspark.llm.near_dedup import near_duplicates
+from strataspark.llm.near_dedup import near_components
 from strataspark.llm.packing import pack_documents
 from strataspark.llm.quality_rules import quality_rules
 from strataspark.llm.storage import materialise
@@ -25,17 +25,26 @@ MIN_LANGUAGE_SCORE = 0.05
 SHINGLE, PERCENT = 5, 80
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among the kept ones; repeated rows of one id are left as they are.
+def _keep_one(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each of ``chosen`` (kept_id, kept_sha256, copies: the rows with this id and text).
 
-    Merged whatever the number of ids now, as it grows with the corpus."""
-    kept = materialise(verdicts.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept-ids")
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    Merged whatever the number of rows now, as it grows with the corpus. Of copies, which may differ in the other
+    columns, the least stays."""
+    chosen = materialise(chosen, "chosen-rows")
+    hashed = docs.withColumn("row_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("row_sha256") == F.col("kept_sha256"))
+    held = lambda copies: hashed.join(chosen.filter(copies).hint("merge"), same, "left_semi")
+    single = held("copies = 1").select(*COLUMNS)
+    if chosen.filter("copies > 1").isEmpty():  # the usual case
+        return single
+    least = held("copies > 1").groupBy("doc_id", "row_sha256").agg(F.min(F.struct("source", "lang", "n_chars", "text")).alias("row"))
+    return single.union(least.select("doc_id", *(F.col(f"row.{c}") for c in COLUMNS[1:])))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail a rule or whose host is blocked."""
-    return _keep(docs, quality_rules(docs))
+    rest = tuple(F.col(c) for c in COLUMNS[1:])  # carried along: ids may repeat or be null
+    return quality_rules(docs, carry=rest).filter("kept").select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +55,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the largest id of each group of equal texts."""
-    return _keep(docs, exact_duplicates(docs))
+    """Keeps one row of each group of equal texts, one with the group's largest id."""
+    kept = exact_duplicates(docs).filter("kept")
+    return _keep_one(docs, kept.groupBy(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha256")).agg(F.count("*").alias("copies")))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates."""
-    return _keep(docs, near_duplicates(docs, shingle=SHINGLE, percent=PERCENT))
+    """Keeps one row of each group of near-duplicates, one with the group's smallest id, and one of each text without words."""
+    counted = near_components(docs, shingle=SHINGLE, percent=PERCENT).groupBy("root", "id", "text_sha256").agg(F.count("*").alias("copies"))
+    rows = materialise(counted, "component-rows")
+    least = F.min(F.struct(F.col("id").isNull(), "id", "text_sha256", "copies")).alias("row")
+    linked = rows.filter("root is not null").groupBy("root").agg(least).select("row.id", "row.text_sha256", "row.copies")
+    chosen = linked.union(rows.filter("root is null").select("id", "text_sha256", "copies"))
+    return _keep_one(docs, chosen.toDF("kept_id", "kept_sha256", "copies"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

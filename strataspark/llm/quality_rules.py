@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.llm.storage import materialise
@@ -86,19 +86,22 @@ def text_counts(text: str) -> tuple[int, int, int, int, int, int]:
     )
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_batches(batches: Iterator[pa.RecordBatch], carried: list[str]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in COUNTS.split(", ")]
     for batch in batches:
         rows = [text_counts(x.as_py() or "") for x in batch.column(2)]
         columns = zip(*rows, strict=True) if rows else [()] * len(names)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns)], names=["row_key", "host", *names])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *batch.columns[3:], *(pa.array(c, pa.int64()) for c in columns)], names=["row_key", "host", *carried, *names])
 
 
-def document_counts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """(row_key, host, counts…, base_failed, rule_failed) for every row; whole texts."""
-    d = docs.select(F.col(id_col).alias("row_key"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("body"))
-    kind = d.schema["row_key"].dataType.simpleString()
-    counted = d.mapInArrow(_count_batches, f"row_key {kind}, host string, {COUNTS}")
+def document_counts(docs: DataFrame, id_col: str, text_col: str, host_col: str, carry: tuple[Column, ...] = ()) -> DataFrame:
+    """(row_key, host, any carried columns, counts…, base_failed, rule_failed) for every row; whole texts."""
+    d = docs.select(F.col(id_col).alias("row_key"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("body"), *carry)
+    schema = d.drop("body").schema
+    for x in COUNTS.split(", "):
+        schema = schema.add(*x.split())
+    carried = d.columns[3:]
+    counted = d.mapInArrow(lambda batches: _count_batches(batches, carried), schema)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     more = (100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("n_words")) | (100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines"))
     return counted.withColumn("base_failed", base).withColumn("rule_failed", base | more)
@@ -123,12 +126,12 @@ def host_verdicts(counted: DataFrame, block_rate: float = BLOCK_RATE) -> DataFra
     )
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", block_rate: float = BLOCK_RATE) -> DataFrame:
-    """One row per input row: the id, the counts, ``base_failed``, ``rule_failed``, ``shrunk_rate``, ``host_blocked``, ``kept``.
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", block_rate: float = BLOCK_RATE, carry: tuple[Column, ...] = ()) -> DataFrame:
+    """One row per input row: the id, any carried columns, the counts, ``base_failed``, ``rule_failed``, ``shrunk_rate``, ``host_blocked``, ``kept``.
 
     A document is kept if it fails no document rule and its host is not blocked.
     """
-    counted = materialise(document_counts(docs, id_col, text_col, host_col), "rule-counts")
+    counted = materialise(document_counts(docs, id_col, text_col, host_col, carry), "rule-counts")
     # Written, so that the join below shuffles both sides itself where it cannot broadcast: AQE then splits a hot host.
     hosts = materialise(host_verdicts(counted, block_rate).select("host", "shrunk_rate", "host_blocked"), "host-verdicts")
     joined = counted.join(hosts, "host", "left").withColumn("host_blocked", F.coalesce("host_blocked", F.lit(False)))

@@ -28,3 +28,29 @@ def test_stages_keep_clean_documents_and_drop_the_others(spark, tmp_path):
     assert left["exact_dedup"] == everyone - {4} and left["near_dedup"] == everyone - {4, 51} == left["packing"]
     again = {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32").collect()}
     assert again == {tuple(r) for r in docs.select("doc_id", "start", "length", "ids_crc32").collect()}
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def ids(df):
+    return sorted((r["doc_id"] for r in df.collect()), key=str)
+
+
+def test_repeated_and_null_ids_in_each_stage(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    a, b, c, d, e = (" ".join(rng.choice(WORDS, 90)) for _ in range(5))
+    near = lambda t: " ".join([*t.split()[:-1], "changed"])
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], SCHEMA)
+    kept = lambda stage, rows: sorted(((r["doc_id"], r["text"]) for r in stage(spark, frame(rows), "").collect()), key=str)
+    want = lambda *rows: sorted(rows, key=str)
+
+    rows = [(1, a, "x"), (1, "too short", "x"), (None, b, "x"), (None, "1 2 3", "x"), (None, "$$$ ### " * 30, "x"), (2, c, "x"), (2, c, "x")]
+    assert kept(corpus_pipeline.quality_stage, rows) == want((1, a), (None, b), (2, c), (2, c))
+    assert kept(corpus_pipeline.language_stage, [(1, a, "x"), (1, "12 34", "x"), (None, b, "x"), (None, "56", "x")]) == want((1, a), (None, b))
+    rows = [(1, a, "x"), (1, a, "y"), (1, b, "x"), (None, a, "x"), (None, c, "x"), (None, c, "x"), (None, d, "x"), (2, d, "x"), (3, e, "x")]
+    assert kept(corpus_pipeline.exact_stage, rows) == want((1, a), (1, b), (None, c), (2, d), (3, e))
+    rows = [(1, a, "x"), (1, a, "y"), (1, b, "x"), (2, near(b), "x"), (3, near(a), "x"), (None, near(a), "x"), (None, e, "x"), (None, d, "x"), (4, near(d), "x")]
+    assert kept(corpus_pipeline.near_stage, rows) == want((1, a), (1, b), (None, e), (4, near(d)))
+    null_copies = kept(corpus_pipeline.near_stage, [(None, c, "x"), (None, near(c), "x"), (None, c, "y")])
+    assert len(null_copies) == 1 and null_copies[0][1] in (c, near(c))

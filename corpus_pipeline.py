@@ -19,8 +19,8 @@ from strataspark.llm.quality_rules import quality_rules
 from strataspark.llm.storage import materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document whose best cosine is below this reads like none of the learned languages.
-MIN_LANGUAGE_SCORE = 0.05
+#: A document whose best cosine is below this reads like none of the learned languages; see the README for the cosines.
+MIN_LANGUAGE_SCORE = 0.2
 #: The pipeline's near-duplicates: five words, a similarity of 0.8 or more.
 SHINGLE, PERCENT = 5, 80
 
@@ -48,9 +48,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those that read like no learned language."""
+    """Drops documents without letters and, if any language could be learned, those that read like none."""
     rest = tuple(F.col(c) for c in COLUMNS[1:])  # carried along, so that no row has to be found again
-    found = predict_language(docs, learn_prototypes(docs), carry=rest)
+    prototypes = learn_prototypes(docs)
+    if not prototypes:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = predict_language(docs, prototypes, carry=rest)
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*COLUMNS)
 
 

@@ -1,6 +1,7 @@
 """The pipeline's stages, one after the other, on a small corpus."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strataspark.llm.storage import materialise
@@ -54,3 +55,17 @@ def test_repeated_and_null_ids_in_each_stage(spark, tmp_path):
     assert kept(corpus_pipeline.near_stage, rows) == want((1, a), (1, b), (None, e), (4, near(d)))
     null_copies = kept(corpus_pipeline.near_stage, [(None, c, "x"), (None, near(c), "x"), (None, c, "y")])
     assert len(null_copies) == 1 and null_copies[0][1] in (c, near(c))
+
+
+def test_language_stage_drops_what_was_not_learned_only(spark):
+    rng = np.random.default_rng(10)
+    letters = lambda alphabet, n: " ".join("".join(rng.choice(list(alphabet), rng.integers(2, 9))) for _ in range(n))
+    rows = [(i, " ".join(rng.choice(WORDS, 90)), "en") for i in range(1, 41)]
+    rows += [(100 + i, letters("abcdefghijklmnopqrstuvwxyz", 60), None) for i in range(20)]
+    rows += [(200 + i, letters("абвгдежзийклмнопрстуфхцчшщыэюя", 60), None) for i in range(20)]
+    rows += [(300, "1 2 3", "en"), (301, None, "en")]
+    docs = spark.createDataFrame([(i, t, lang, "src", 0) for i, t, lang in rows], SCHEMA)
+    assert ids(corpus_pipeline.language_stage(spark, docs, "")) == sorted(range(1, 41), key=str)
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    everyone = sorted([*range(1, 41), *range(100, 120), *range(200, 220)], key=str)
+    assert ids(corpus_pipeline.language_stage(spark, unlabelled, "")) == everyone

@@ -4,8 +4,9 @@ Lexical features (lengths, depth, digit ratio, character entropy, parameter and
 same host suffix were blocked) are DataFrame expressions; Spark's gradient-boosted trees learn from labelled URLs. Here
 the labels are the rules' own verdicts, so the model carries the rules' pattern on to hosts they do not name.
 
-Learning takes a bounded sample (``MAX_LABELLED`` URLs, chosen by hash); suffix statistics have at most that many rows,
-a proven bound for their broadcast. Scoring reads the URL column alone, without a shuffle.
+Suffix statistics cover all labelled rows; they are a written table that is joined as its size allows. The trees learn
+from a bounded sample (``MAX_LABELLED`` distinct URLs, half of them for each label, chosen by hash and weighted back to
+the labels' shares of distinct URLs). Scoring reads the URL column alone.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and goes to the model; of
 rules that fit, the longest wins, then the first given; with labels of one kind only, or none, the model's verdict is
@@ -64,6 +65,10 @@ def entropy(text: Column) -> Column:
     return F.when(n > 0, total).otherwise(F.lit(0.0))
 
 
+def suffix(host: Column) -> Column:
+    return F.substring_index(host, ".", -2)
+
+
 def lexical_features(urls: DataFrame) -> DataFrame:
     """Adds the features but the suffix rate, and ``suffix``, to rows with ``url``, ``host`` and ``path``."""
     url = F.coalesce("url", F.lit(""))
@@ -79,28 +84,34 @@ def lexical_features(urls: DataFrame) -> DataFrame:
             "entropy": entropy(url),
             "n_params": F.when(F.length(query) > 0, _count(query, "&") + 1).otherwise(0),
             "n_hyphens": _count(F.col("host"), "-"),
-            "suffix": F.substring_index("host", ".", -2),
+            "suffix": suffix(F.col("host")),
         }
     )
 
 
 def _vectors(df: DataFrame, rates: DataFrame, overall: float) -> DataFrame:
-    joined = df.join(F.broadcast(rates), "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(overall)))
+    joined = df.join(rates, "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(overall)))
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(joined)
 
 
 def learn(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, float, GBTClassificationModel | None]:
     """From rows with url, host, path and label (1: block): suffix rates, the overall rate and the trees, if both labels occur."""
     known = labelled.select("url", "host", "path", "label")
-    sample = materialise(lexical_features(known.orderBy(F.xxhash64("url"), "url", "label").limit(max_labelled)), "labelled-urls")
-    seen = sample.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
+    seen = known.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
     n, blocked = seen["n"], seen["blocked"] or 0
     overall = blocked / n if n else 0.0
-    rates = sample.groupBy("suffix").agg(((F.sum("label") + SUFFIX_WEIGHT * overall) / (F.count("*") + SUFFIX_WEIGHT)).alias("suffix_rate"))
+    rate = (F.sum("label") + SUFFIX_WEIGHT * overall) / (F.count("*") + SUFFIX_WEIGHT)
+    rates = materialise(known.groupBy(suffix(F.col("host")).alias("suffix")).agg(rate.alias("suffix_rate")), "suffix-rates")
     if blocked in (0, n):
         return rates, overall, None
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=SEED)
-    return rates, overall, trees.fit(_vectors(sample, rates, overall).select("features", F.col("label").cast("double")).coalesce(4))
+    urls = materialise(known.distinct(), "labelled-urls")
+    of_label = {r["label"]: r["count"] for r in urls.groupBy("label").count().collect()}  # two rows
+    most = max(1, max_labelled // 2)
+    parts = [urls.filter(F.col("label") == x).orderBy(F.xxhash64("url"), "url").limit(most).withColumn("weight", F.lit(of_label[x] / min(of_label[x], most))) for x in (0, 1)]
+    sample = materialise(lexical_features(parts[0].union(parts[1])), "sampled-urls")
+    mine = rates.join(F.broadcast(sample.select("suffix").distinct()), "suffix", "left_semi")  # at most max_labelled rows
+    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=SEED)
+    return rates, overall, trees.fit(_vectors(sample, F.broadcast(mine), overall).select("features", "weight", F.col("label").cast("double")).coalesce(4))
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -12,7 +12,7 @@ from strataspark.llm.components import components
 from strataspark.llm.language_id import learn_prototypes, predict_language
 from strataspark.llm.near_dedup import joint_estimate, merge_registers, mixed, near_duplicates, registers
 from strataspark.llm.quality_mil import Model, learn_quality, passages, score_quality
-from strataspark.llm.url_filter import entropy, filter_urls
+from strataspark.llm.url_filter import entropy, filter_urls, learn
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 
@@ -227,3 +227,22 @@ def test_url_rules_and_trees(spark):
     assert filter_urls(d.limit(0), rules).count() == 0
     assert {r["verdict"] for r in filter_urls(d.filter("page_id < 3"), rules).collect()} == {"allow"}
     assert abs(spark.createDataFrame([("aabb",)], "t string").select(entropy(F.col("t"))).first()[0] - 1) < 1e-12
+
+
+def test_url_statistics_cover_all_labelled_urls(spark):
+    """Also with one URL that holds most rows and has the least hash, so that it comes first in any sample by hash."""
+    many = [(f"http://a{i}.h{i % 40}.com/p{i}", f"a{i}.h{i % 40}.com", f"/p{i}", int(i % 40 < 10)) for i in range(200)]
+    d = spark.createDataFrame(many, "url string, host string, path string, label int")
+    hot = d.filter("label = 1").orderBy(F.xxhash64("url")).limit(1)
+    both = d.union(hot.crossJoin(spark.range(300)).drop("id"))
+    rates, overall, trees = learn(both, max_labelled=20)
+    rows = both.collect()
+    assert overall == sum(r["label"] for r in rows) / len(rows)
+    n, blocked = Counter(), Counter()
+    for r in rows:
+        key = ".".join(r["host"].split(".")[-2:])
+        n[key] += 1
+        blocked[key] += r["label"]
+    got = {r["suffix"]: r["suffix_rate"] for r in rates.collect()}
+    assert got == pytest.approx({k: (blocked[k] + 20 * overall) / (n[k] + 20) for k in n})
+    assert trees is not None

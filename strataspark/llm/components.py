@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.storage import materialise
+from strataspark.llm.storage import discard, materialise
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -34,5 +34,6 @@ def components(links: DataFrame) -> DataFrame:
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if seen == mark or not seen["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = seen
-        now = materialise(_small_star(_large_star(now)), "links")
+        mark, before = seen, now
+        now = materialise(_small_star(_large_star(before)), "links")
+        discard(before)

@@ -11,14 +11,22 @@ No bucket is expanded into all its pairs:
 
 1. Rows with equal sets are one class; one row per class goes on, under the class's number.
 2. In each bucket all members are paired with its smallest one only. Verified links give first components.
-3. A link that step 2 cannot have seen joins two different components within a bucket. So, in buckets that still hold
-   several components, members outside the bucket's largest component meet the members of other components. In small
-   buckets a bit sketch discards pairs far below the threshold inside the join, and what passes is estimated and verified
-   as before; large buckets are dealt into bounded blocks and compared on the full sets, and only links leave a task.
-4. Components of all links; each row gets the smallest id of its class's component.
-
-Full sets are rebuilt only for candidates. Joins on a hot key have written tables on both sides, so AQE splits them. A
-pair at the threshold shares none of the 32 bands with probability 5e-8.
+3. A link that step 2 cannot have seen joins two different components within a bucket, so only buckets that still hold
+   several components go on. From large ones go the members that cannot reach the threshold there, since too many of
+   their shingles are in no other set; in a group of near copies these are nearly all that link with nothing.
+4. Pivot rounds in large buckets: each member outside the bucket's largest component meets one member of it, chosen by
+   hash for each bucket. Rounds are linear, and go on while they join a fair share of what is left.
+5. The rest of the large buckets is compared block by block on the full sets, members outside the largest component
+   against all, each pair in the first band it shares only; a task's links leave it as a forest, so there are fewer than
+   its rows. In small buckets a bit sketch discards pairs far below the threshold inside the join, and what passes is
+   estimated and verified as before.
+6. Components of all links; each row gets the smallest id of its class's component.
+
+Step 5 is quadratic in those members of a large bucket that share most of their shingles and yet link with neither the
+pivots nor each other: its comparisons, and beyond 2,048 rows or 16 MB the copies of their sets. Its output is not.
+
+Full sets are rebuilt once, for candidates only. Joins on a hot key have written tables on both sides, so AQE splits
+them. A pair at the threshold shares none of the 32 bands with probability 5e-8.
 
 A class goes by a number of its own, so links do not depend on ids: texts that share an id are told apart, and rows
 without id carry links like any others.
@@ -40,7 +48,7 @@ from pyspark.sql import functions as F
 
 from strataspark.llm.chunked import blocks, small_batches, texts_of
 from strataspark.llm.components import components
-from strataspark.llm.storage import materialise
+from strataspark.llm.storage import discard, materialise
 
 REGISTERS, BAND_ROWS = 128, 4
 BANDS = REGISTERS // BAND_ROWS
@@ -50,6 +58,10 @@ BASE, RATE, TOP = 1.001, 20.0, 65_535
 ERRORS = 4.5
 #: Buckets from this size on are compared block by block on the full sets; a block's most rows, and about its most bytes.
 LARGE, BLOCK_ROWS, BLOCK_BYTES = 48, 2048, 16 << 20
+#: About the most bytes of shingles in a part when shared ones are counted.
+PART_BYTES = 16 << 20
+#: Pivot rounds go on while they leave no more than this share of the members outside their bucket's largest component.
+WORTH = 0.8
 #: Characters hashed at once.
 BLOCK = 500_000
 #: Bits of a register in the bit sketch.
@@ -241,10 +253,6 @@ def _sets_of(wanted: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int)
     return materialise(_sets(found, shingle), "candidate-sets")
 
 
-def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-
-
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: ``id``, ``text_sha256`` (null as the empty text), ``n`` (shingles), ``root`` (the component's
     number, null without shingles) and ``component`` (its smallest id)."""
@@ -261,14 +269,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         one.select(F.col("node").alias("id"), "copies", F.col("row.rep").alias("row_id"), F.col("row.text_sha256").alias("row_sha256"), "row.n", "row.regs", *(f"row.{x}" for x in lane)), "representatives"
     )
     key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("regs", k * (2 * BAND_ROWS) + 1, 2 * BAND_ROWS)))
-    bands = reps.select("id", F.explode(key).alias("bucket"))
+    bands = reps.select("id", F.posexplode(key).alias("band", "bucket"))
     full = materialise(bands.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("size")).filter("size > 1").select("bucket", "first"), "buckets")
     members = materialise(bands.join(full, "bucket"), "members")
+    # The sets of all candidates, once: every verification below reads this table.
+    sets = _sets_of(members.select("id"), reps, body, shingle)
     star = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    likely = _likely(star, reps, percent)
-    links = materialise(_verified(likely, _sets_of(_ids(likely), reps, body, shingle), percent), "links")
-    late = _late_links(members, links, reps, body, shingle, percent)
-    roots = components(links.union(late)).withColumnRenamed("root", "found")
+    found = components(_verified(_likely(star, reps, percent), sets, percent))
+    roots = _late_links(members.select("bucket", "band", "id"), found, reps, sets, percent).withColumnRenamed("root", "found")
     placed = materialise(classes.join(roots, "node", "left").select("digest", "rep", F.coalesce("found", "node").alias("root")), "class-roots")
     least = materialise(placed.groupBy("root").agg(F.min("rep").alias("component")), "component-ids")
     named = materialise(placed.join(least, "root").select("digest", "root", "component"), "class-components")
@@ -284,19 +292,86 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _late_links(members: DataFrame, links: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links between members of one bucket that are in different components so far."""
-    roots = components(links)
-    placed = members.select("bucket", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
-    sizes = materialise(placed.groupBy("bucket", "comp").agg(F.count("*").alias("size")), "component-sizes")
-    largest = F.max(F.struct("size", "comp"))["comp"].alias("major")
-    open_buckets = sizes.groupBy("bucket").agg(largest, F.sum("size").alias("size"), F.count("*").alias("comps")).filter("comps > 1").select("bucket", "major", "size")
+def _late_links(members: DataFrame, roots: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root) with the links between members of one bucket that ``roots`` has in different components."""
+    held = _open_members(members, roots)
+    large = held.filter(F.col("size") >= LARGE)
+    gone = _out_of_reach(large.select("id").distinct(), reps, sets, percent)
+    # In a large bucket alone: elsewhere such a member may still have partners that are not among the large buckets' members.
+    held = _open_members(held.join(gone.withColumn("large", F.lit(True)), "id", "left").filter((F.col("size") < LARGE) | F.col("large").isNull()), roots)
+    before = None
+    while True:
+        large = held.filter(F.col("size") >= LARGE)
+        left = large.filter("comp <> major").select("id").distinct().count()
+        if not left or (before is not None and left > WORTH * before):
+            break
+        before = left
+        links = _verified(_likely(_pivot_pairs(large, before), reps, percent), sets, percent)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+        former, held = held, _open_members(held, roots)
+        discard(former)
     lane = [f"s{i}" for i in range(WORDS)]
-    found = materialise(placed.join(open_buckets, "bucket").join(reps.select("id", "n", *lane), "id"), "open-members")
-    few, many = found.filter(F.col("size") < LARGE), found.filter(F.col("size") >= LARGE).drop(*lane)
-    likely = _likely(_met(few, percent), reps, percent)
-    sets = _sets_of(_ids(likely).union(many.select("id")), reps, docs, shingle)
-    return materialise(_verified(likely, sets, percent).union(_block_links(many, sets, percent)).distinct(), "links")
+    few = held.filter(F.col("size") < LARGE).join(reps.select("id", "n", *lane), "id")
+    late = _verified(_likely(_met(few, percent), reps, percent), sets, percent)
+    if left:
+        late = late.union(_block_links(large, reps, sets, percent))
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late))
+
+
+def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, band, id, comp, major, size): the members of buckets that hold several components, each with its own
+    component, the bucket's largest component and its number of members."""
+    placed = members.select("bucket", "band", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    placed = materialise(placed.select("bucket", "band", "id", F.coalesce("root", "id").alias("comp")), "placed-members")
+    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
+    largest = F.max(F.struct("size", "comp"))["comp"].alias("major")
+    several = sizes.groupBy("bucket").agg(largest, F.sum("size").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
+    several = materialise(several.drop("comps"), "open-buckets")
+    held = materialise(placed.join(several, "bucket"), "open-members")
+    discard(placed)
+    discard(several)
+    return held
+
+
+def _pivot_pairs(large: DataFrame, seed: int) -> DataFrame:
+    """The distinct pairs (a, b) of a bucket's pivot, a member of its largest component chosen by hash, and each member of
+    another component. Every bucket has its own pivot, so a member meets up to one for each band."""
+    of = F.min_by("id", F.xxhash64("id", "bucket", F.lit(seed))).alias("a")
+    pivots = materialise(large.filter("comp = major").groupBy("bucket").agg(of), "pivots")
+    return large.filter("comp <> major").select("bucket", F.col("id").alias("b")).join(pivots, "bucket").select("a", "b").distinct()
+
+
+def _out_of_reach(wanted: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ids of ``wanted`` that reach the threshold with no other one of them: too many of their shingles are in no other set.
+
+    Shingles are dealt out by hash to parts of bounded size; one that a batch holds twice leaves it once, without owner.
+    """
+    found = materialise(wanted.join(sets, "id"), "large-sets")
+    total = found.agg(F.sum(F.length("hashes"))).first()[0] or 0
+    parts = np.uint64(1 + 2 * total // PART_BYTES)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            owner = np.repeat(batch.column(0).to_numpy(), [len(x) for x in lists])
+            hashes, at, times = np.unique(np.concatenate([*lists, np.zeros(0, np.uint64)]), return_index=True, return_counts=True)
+            owner = np.where(times > 1, -1, owner[at])
+            part = (hashes % parts).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            edge = np.flatnonzero(np.diff(part[order], prepend=-1))
+            cut = lambda x: pa.array([y.tobytes() for y in np.split(x[order], edge[1:])] if len(edge) else [], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(part[order][edge], pa.int64()), cut(owner), cut(hashes)], names=["part", "owner", "hashes"])
+
+    def own(table: pa.Table) -> pa.Table:
+        owner, hashes = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(k)]) for k, kind in ((1, np.int64), (2, np.uint64)))
+        _, at, times = np.unique(hashes, return_index=True, return_counts=True)
+        single = owner[at][times == 1]
+        ids, n = np.unique(single[single >= 0], return_counts=True)
+        return pa.table({"id": pa.array(ids, pa.int64()), "own": pa.array(n, pa.int64())})
+
+    counted = found.select("id", "hashes").mapInArrow(deal, "part long, owner binary, hashes binary").groupBy("part").applyInArrow(own, "id long, own long")
+    owned = counted.groupBy("id").agg(F.sum("own").alias("own"))
+    return materialise(owned.join(reps.select("id", "n"), "id").filter(100 * (F.col("n") - F.col("own")) < percent * F.col("n")).select("id"), "out-of-reach")
 
 
 def _met(found: DataFrame, percent: int) -> DataFrame:
@@ -315,40 +390,82 @@ def _met(found: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
 
 
-def _block_links(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _block_links(large: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of large buckets: members outside the largest component against all, on the full sets, block by block.
 
-    A bucket is dealt into blocks of bounded rows and bytes; a task holds two blocks, and only links leave it.
+    Both sides are dealt into blocks of bounded rows and bytes; a task holds one of each. A pair is compared in the first
+    band it shares only, and links leave a task as a forest of components: fewer than the task's rows.
     """
-    width = found.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = found.join(width, "bucket").withColumn("own", own).withColumn("minor", F.col("comp") != F.col("major"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = dealt.filter("minor").select("bucket", F.col("own").alias("i"), F.explode(other).alias("j"), F.lit(0).alias("side"), "id", "comp")
-    right = dealt.select("bucket", F.explode(other).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "id", "comp")
+    sized = large.join(reps.select("id", "n", "regs"), "id").withColumn("minor", F.col("comp") != F.col("major"))
+    blocks = lambda rows: F.greatest(F.lit(1), F.ceil(F.count_if(rows) / BLOCK_ROWS), F.ceil(F.sum(F.when(rows, F.col("n"))) * 8 / BLOCK_BYTES)).cast("int")
+    width = materialise(sized.groupBy("bucket").agg(blocks(F.col("minor")).alias("lefts"), blocks(F.lit(True)).alias("rights")), "bucket-blocks")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = sized.join(width, "bucket")
+    rest = ("band", "id", "comp", "major", "regs")
+    left = dealt.filter("minor").select("bucket", own("lefts").alias("i"), others("rights").alias("j"), F.lit(0).alias("side"), *rest)
+    right = dealt.select("bucket", others("lefts").alias("i"), own("rights").alias("j"), F.lit(1).alias("side"), *rest)
     rows = left.union(right).join(sets, "id")
 
     def links(table: pa.Table) -> pa.Table:
-        side, ids, comp = (table.column(c).to_numpy() for c in ("side", "id", "comp"))
-        order = np.argsort(side, kind="stable")
-        n_left = int((side == 0).sum())
-        ids, comp = ids[order], comp[order]
-        hashes = [np.frombuffer(table.column("hashes")[int(k)].as_py(), np.uint64) for k in order]
+        table = table.sort_by("side")
+        band, side, ids, comp, major = (table.column(c).to_numpy() for c in ("band", "side", "id", "comp", "major"))
+        hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
         size = np.array([len(h) for h in hashes])
-        owner = np.repeat(np.arange(len(hashes)), size)
-        numbers = np.unique(np.concatenate(hashes), return_inverse=True)[1] if len(hashes) else np.zeros(0, np.int64)
-        shared = np.bincount(numbers[owner < n_left], minlength=numbers.max(initial=0) + 1) * np.bincount(numbers[owner >= n_left], minlength=numbers.max(initial=0) + 1) > 0
-        column = np.cumsum(shared) - 1
-        kept = shared[numbers]
-        owner, column, total = owner[kept], column[numbers[kept]], int(shared.sum())
-        both = np.zeros((n_left, len(hashes) - n_left), np.float32)
-        for first in range(0, total, 2048):
-            mine = (column >= first) & (column < first + 2048)
-            part = np.zeros((len(hashes), min(2048, total - first)), np.float32)
-            part[owner[mine], column[mine] - first] = 1
-            both += part[:n_left] @ part[n_left:].T
-        union = size[:n_left, None] + size[None, n_left:] - both
-        a, b = np.nonzero((100 * both >= percent * union) & (comp[:n_left, None] != comp[None, n_left:]))
-        return pa.table({"a": pa.array(ids[:n_left][a], pa.int64()), "b": pa.array(ids[n_left:][b], pa.int64())})
-
-    return rows.select("bucket", "i", "j", "side", "id", "comp", "hashes").groupBy("bucket", "i", "j").applyInArrow(links, "a long, b long")
+        keys = np.frombuffer(b"".join(table.column("regs").to_pylist()), f"<u{2 * BAND_ROWS}").reshape(-1, BANDS)
+        n = int((side == 0).sum())
+        due = (comp[:n, None] != comp[None, n:]) & ((comp[n:] == major[n:])[None, :] | (ids[:n, None] < ids[None, n:]))
+        for k in range(int(band[0])):
+            due &= keys[:n, k][:, None] != keys[None, n:, k]
+        due &= (100 * size[:n, None] >= percent * size[None, n:]) & (100 * size[None, n:] >= percent * size[:n, None])
+        a, b = _similar(due, hashes, size, n, percent)
+        return pa.table({"a": pa.array(ids[:n][a], pa.int64()), "b": pa.array(ids[n:][b], pa.int64())}).take(pa.array(_forest(comp[:n][a], comp[n:][b]), pa.int64()))
+
+    return rows.select("bucket", "i", "j", "side", *rest, "hashes").groupBy("bucket", "i", "j").applyInArrow(links, "a long, b long")
+
+
+def _similar(due: np.ndarray, hashes: list[np.ndarray], size: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The due pairs of the first ``n`` sets with the others that reach the threshold, by products of incidence matrices."""
+    left, right = np.flatnonzero(due.any(axis=1)), np.flatnonzero(due.any(axis=0))
+    if not len(left):
+        return left, left
+    held = [*(hashes[k] for k in left), *(hashes[n + k] for k in right)]
+    owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    values, numbers = np.unique(np.concatenate(held), return_inverse=True)
+    ours = owner < len(left)
+    shared = (np.bincount(numbers[ours], minlength=len(values)) > 0) & (np.bincount(numbers[~ours], minlength=len(values)) > 0)
+    kept = shared[numbers]
+    order = np.argsort(numbers[kept], kind="stable")
+    owner, column, total = owner[kept][order], (np.cumsum(shared) - 1)[numbers[kept][order]], int(shared.sum())
+    both = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, total, 2048):
+        lo, hi = np.searchsorted(column, (first, first + 2048))
+        part = np.zeros((len(held), min(2048, total - first)), np.float32)
+        part[owner[lo:hi], column[lo:hi] - first] = 1
+        both += part[: len(left)] @ part[len(left) :].T
+    union = size[:n][left][:, None] + size[n:][right][None, :] - both
+    a, b = np.nonzero((100 * both >= percent * union) & due[np.ix_(left, right)])
+    return left[a], right[b]
+
+
+def _forest(one: np.ndarray, two: np.ndarray) -> list[int]:
+    """Positions of links (one, two) that join what no earlier one joined: fewer than there are ends."""
+    if not len(one):
+        return []
+    ends, numbers = np.unique(np.concatenate((one, two)), return_inverse=True)
+    pairs = np.sort(numbers.reshape(2, -1), axis=0)
+    first = np.unique(pairs[0] * len(ends) + pairs[1], return_index=True)[1]
+    above, out = list(range(len(ends))), []
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for k in first.tolist():
+        x, y = top(int(pairs[0, k])), top(int(pairs[1, k]))
+        if x != y:
+            above[y] = x
+            out.append(k)
+    return out

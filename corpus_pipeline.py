@@ -3,6 +3,20 @@
 Stages: quality rules, language ID, exact dedup, near-duplicates, packing. All but the last return the columns of
 ``documents``; each stage's result is written as Parquet and read again before the next. There is no SQL for the whole:
 language ID, banding and tokens cannot be said in it; the stages are tested against brute force.
+
+Defined results, stage by stage. Verdicts go with rows, not with ids, so repeated and null ids change nothing but ties.
+
+- ``quality_rules``: null and empty texts have no words and go; a null source is no host and never blocked.
+- ``language_id``: texts without letters go; rows without a language are judged like others but not learned from; if no
+  row has a language, every text with a letter stays.
+- ``exact_dedup``: of equal texts one row stays, with the largest id, one without id only if none has one; of rows equal
+  in id and text the least by source, language and length stays.
+- ``near_dedup``: of linked texts one row stays, with the smallest id; texts of fewer than five words are one shingle;
+  texts without words are linked with nothing and each id keeps one row of each such text.
+- ``packing``: every remaining row is packed whole, in pieces.
+
+Texts of any length are read whole. An empty table, or one of which nothing stays, gives an empty result with the same
+columns. Columns other than those of ``documents`` are not read and do not come out.
 """
 
 from __future__ import annotations

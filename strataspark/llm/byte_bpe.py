@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from pathlib import Path
 
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +39,31 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in lines}
 
 
+class KnownLetters:
+    """Which characters the reference library's pattern engine has as letters or numbers.
+
+    Its tables and those of ``regex`` follow different editions of Unicode. Only characters that Python's own, older tables
+    leave unassigned can differ; each of these is asked for once."""
+
+    def __init__(self) -> None:
+        ranks = {bytes([b]): b for b in range(256)} | {b"'v": 256, b"ve": 257, b"'ve": 258}
+        # After a letter or number the contraction stands alone; after another mark its quote belongs to the mark.
+        self.encode = tiktoken.Encoding("letters", pat_str=r"'ve| ?[\p{L}\p{N}]+| ?[^\s\p{L}\p{N}]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.unknown: dict[str, bool] = {}
+
+    def hidden(self, text: str) -> str:
+        """The text with a control character for each letter that the library does not have as one."""
+        for c in set(text):
+            if c not in self.unknown:
+                self.unknown[c] = unicodedata.category(c) == "Cn" and self.encode(c + "'ve")[-1] != 258
+        return "".join(["\x01" if self.unknown[c] else c for c in text])
+
+
 class MergeReplay:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.letters = KnownLetters()
         self.token = {rank: token for token, rank in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.pairs: dict[tuple[int, int], int | None] = {}
@@ -141,7 +164,9 @@ class MergeReplay:
         word = chunk.rstrip(TAIL)
         if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
             return [word, chunk[len(word) :]] if len(word) < len(chunk) else [word]
-        return self.split(chunk)
+        if chunk.isascii():
+            return self.pattern.findall(chunk)
+        return [chunk[m.start() : m.end()] for m in self.pattern.finditer(self.letters.hidden(chunk))]
 
     def _encode_words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
         return [(b"".join([b" %d" % i for i in ids]), self.decode(ids)) for ids in self.replay([w.encode() for w in words])]

@@ -4,7 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from strataspark.llm import byte_bpe
+from strataspark.llm import byte_bpe, token_records
 from strataspark.llm.byte_bpe import MergeReplay, decode_documents, encode_documents, read_ranks
 from strataspark.llm.library_bpe import LibraryEncoder
 from strataspark.llm.packing import pack_documents, pack_histogram
@@ -155,3 +155,47 @@ def test_plans_use_up_any_histogram():
     counts = rng.poisson(300, 65) * (np.arange(65) > 0)
     padding = sum((64 - sum(x)) * n for x, n in pack_histogram(counts, 64))
     assert padding < 0.02 * (counts * np.arange(65)).sum()
+
+
+def test_letters_are_the_librarys():
+    """Characters that editions of Unicode disagree on, before a contraction."""
+    ranks = read_ranks(RANKS)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = MergeReplay(ranks, P.PATTERN)
+    odd = [0x12609, 0x88F, 0xA7D2, 0xA7DD, 0x10940, 0x1B123, 0x13460, 0x16D40, 0x10D4A, 0x11DE0, 0x323B0, 0x16FF2, 0x378, 0x1C89, 0x1CCF0]
+    for c in map(chr, odd):
+        for text in (c + "'ve", f"ab {c}{c}'s x{c}!", f"{c} {c}7{c}"):
+            assert own.encode(text) == library.encode_ordinary(text), hex(ord(c))
+
+
+def test_records_of_repeated_and_null_ids_in_small_runs(spark, tmp_path, monkeypatch):
+    """Each row is written once, null ids first; runs and files end early, and a record may be longer than a run."""
+    monkeypatch.setattr(token_records, "RUN_BYTES", 200)
+    monkeypatch.setattr(token_records, "FILE_RUNS", 2)
+    library = Tokenizer.from_file(WORD)
+    rows = [(None, "no id"), (None, None), (3, "one"), (3, "two"), (3, "one"), (2, "word " * 500), (1, ""), (10, "10 13 10\n\r"), *((100 + i, f"text {i}") for i in range(40))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    write_records(d, f"{tmp_path}/r", WORD, end_id=1)
+    got = with_starts(write_index(spark, f"{tmp_path}/r", f"{tmp_path}/i")).orderBy("start").collect()
+    want = Counter((i, zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for i, t in rows)
+    assert Counter((r["row_key"], r["ids_crc32"]) for r in got) == want
+    keys = [r["row_key"] for r in got]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k or 0)) and len({r["part"] for r in got}) > 3
+    assert [r["start"] for r in got] == list(np.cumsum([0, *(r["n_tokens"] for r in got[:-1])]))
+    ids = np.arange(70_000, dtype="<u4").tobytes()
+    frames = spark.createDataFrame([(bytearray(frame(1, ids)),)], "value binary")
+    frames.select(frames["value"].cast("string")).write.option("lineSep", "\n").text(f"{tmp_path}/every")
+    assert unframe(bytes(spark.read.format("binaryFile").load(f"{tmp_path}/every").first()["content"]), 0)[:2] == (1, ids)
+
+
+def test_packing_of_repeated_and_null_ids(spark):
+    rows = [(None, "no id"), (None, "no id"), (None, None), (3, "one"), (3, "two"), (3, "one"), (4, "word " * 3000)]
+    got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), BYTE, end_id=0).collect()
+    library = Tokenizer.from_file(BYTE)
+    assert sum(r["length"] for r in got) == sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+    places = defaultdict(list)
+    for r in got:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in places.values():
+        assert [o for o, _ in sorted(spans)] == list(np.cumsum([0, *(n for _, n in sorted(spans)[:-1])]))
+    assert Counter(r["doc_id"] for r in got if r["start"] == 0) == Counter(i for i, _ in rows)

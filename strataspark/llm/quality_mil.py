@@ -5,13 +5,14 @@ neighbouring pairs of classes, its mean word length and the share of words that
 encodes it, a gated attention (tanh times sigmoid) weighs the passages, and the weighted mean is scored. Only document
 labels are used; the network finds the passages that matter.
 
-Learning takes a bounded sample of the labelled documents (``MAX_LABELLED`` documents, chosen by a hash of the id, and of
-each at most ``MAX_PASSAGES`` passages, evenly spaced): some 60 MB of features at the driver however large the corpus.
-Scoring is one pass over whole texts without a shuffle.
+Learning takes a bounded sample of the labelled documents, in the order of a hash of the id: at most ``MAX_LABELLED``
+documents, as long as they have at most ``MAX_PASSAGES`` passages together. Every passage of these documents is encoded,
+in tasks; the driver gets 844 bytes for each, at most 51 MB, and fits batch by batch. A first document that has more
+passages alone is taken. Scoring is one pass over whole texts without a shuffle.
 
 Defined results: a null or empty text, or one without words, is one blank passage and gets that passage's score; with no
 labels, or labels of one kind only, every score is that kind's share (0.5 without labels); several labels of one
-document count as the largest; repeated rows are scored alike; an empty table gives an empty result. Only the named
+document count as the largest; repeated rows are scored alike and learned from once; an empty table gives an empty result. Only the named
 columns are read.
 """
 
@@ -21,14 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataspark.llm.chunked import blocks, texts_of
+from strataspark.llm.storage import materialise
 
 PASSAGE_WORDS = 64
 MAX_LABELLED = 4000
-MAX_PASSAGES = 48
+MAX_PASSAGES = 60_000
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE, DECAY = 40, 64, 0.004, 1e-4
 
@@ -120,8 +122,10 @@ class Model:
         if not len(labels) or labels.min() == labels.max():
             self.constant = float(labels.mean()) if len(labels) else 0.5
             return self
-        every = np.concatenate(bags)
-        self.mean, self.scale = every.mean(axis=0), every.std(axis=0) + np.float32(0.05)
+        n = sum(map(len, bags))
+        mean = sum(x.sum(axis=0, dtype=np.float64) for x in bags) / n
+        spread = sum(((x - mean) ** 2).sum(axis=0) for x in bags) / n
+        self.mean, self.scale = mean.astype(np.float32), np.sqrt(spread).astype(np.float32) + np.float32(0.05)
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
         s = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
@@ -130,7 +134,7 @@ class Model:
             order = rng.permutation(len(bags))
             for i in range(0, len(order), BATCH):
                 own = order[i : i + BATCH]
-                x = np.concatenate([bags[k] for k in own])
+                x = np.concatenate([bags[k] for k in own]).astype(np.float32)
                 starts = np.cumsum([0, *(len(bags[k]) for k in own[:-1])])
                 step += 1
                 for k, d in self._gradients(x, starts, labels[own]).items():
@@ -156,24 +160,31 @@ class Model:
         }
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Model:
-    """Fit on a bounded sample of the labelled documents."""
+def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED, max_passages: int = MAX_PASSAGES) -> Model:
+    """Fit on every passage of a bounded sample of the labelled documents."""
     known = labels.select(F.col(id_col).alias("row_key"), F.col(label_col).cast("int").alias("label")).filter("row_key is not null AND label is not null")
     sample = known.groupBy("row_key").agg(F.max("label").alias("label")).orderBy(F.xxhash64("row_key"), "row_key").limit(max_labelled)
-    bags_of = docs.select(F.col(id_col).alias("row_key"), F.col(text_col).alias("body")).join(F.broadcast(sample), "row_key").select("row_key", "label", "body")
+    bags_of = docs.select(F.col(id_col).alias("row_key"), F.col(text_col).alias("body")).join(F.broadcast(sample), "row_key").select("row_key", "label", "body").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for x in passages(texts_of(batch.column(2))):
-                some = x if len(x) <= MAX_PASSAGES else x[np.linspace(0, len(x) - 1, MAX_PASSAGES).astype(int)]
-                rows.append(some.astype("<f2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["row_key", "label", "rows"])
+            bags = [x.astype("<f2") for x in passages(texts_of(batch.column(2)))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([len(x) for x in bags], pa.int64()), pa.array([x.tobytes() for x in bags], pa.binary())], names=["row_key", "label", "n", "rows"]
+            )
 
     kind = bags_of.schema["row_key"].dataType.simpleString()
-    # At most max_labelled rows (more only if the table repeats an id) of at most MAX_PASSAGES passages.
-    found = bags_of.mapInArrow(run, f"row_key {kind}, label int, rows binary").orderBy("row_key", "rows").limit(max_labelled).toArrow()
-    bags = [np.frombuffer(x.as_buffer(), "<f2").reshape(-1, FEATURES).astype(np.float32) for x in found["rows"]]
+    encoded = materialise(bags_of.mapInArrow(run, f"row_key {kind}, label int, n long, rows binary").withColumn("tie", F.md5("rows")), "labelled-passages")
+    # The one window is over counts of the sample's rows, not their passages.
+    order = Window.orderBy(F.xxhash64("row_key"), "row_key", "tie")
+    counts = encoded.select("row_key", "tie", "n", F.row_number().over(order).alias("place"), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("so_far"))
+    last = counts.filter((F.col("so_far") <= max_passages) | (F.col("place") == 1)).orderBy(F.desc("place")).limit(1).collect()
+    if not last:
+        return Model().fit([], np.zeros(0))
+    at = F.struct(F.xxhash64("row_key"), F.col("row_key"), F.col("tie"))
+    end = F.struct(F.xxhash64(F.lit(last[0]["row_key"]).cast(kind)), F.lit(last[0]["row_key"]).cast(kind), F.lit(last[0]["tie"]))
+    found = encoded.filter(at <= end).orderBy(F.xxhash64("row_key"), "row_key", "tie").select("label", "rows").toArrow()
+    bags = [np.frombuffer(x.as_buffer(), "<f2").reshape(-1, FEATURES) for x in found["rows"]]
     return Model().fit(bags, np.array(found["label"].to_pylist(), np.float32))
 
 

@@ -6,7 +6,8 @@ prototype is the bundle of its documents' vectors, each scaled to one length, an
 the highest cosine.
 
 Learning is one pass with partial bundles per task (languages x dimensions integers) that are summed by key, so it covers
-all rows and does not depend on their order. The prototypes, one vector per language, are the only rows at the driver.
+all rows and does not depend on their order. The prototypes, one vector of 8 KB per language, are the only rows at the
+driver: a column with more than ``MAX_LANGUAGES`` values is no language column and is refused with an error, not cut.
 Prediction is one pass without a shuffle.
 
 Defined results: a null text and a text without letters are ``und`` with score 0, as is any text if nothing was learned;
@@ -33,6 +34,8 @@ BLOCK = 500_000
 GRAMS_AT_ONCE = 4096
 #: A document vector's length when it is learned: integers make the sums exact in any order.
 UNIT = 1 << 20
+#: Languages that may be learned: 32 MB of prototypes.
+MAX_LANGUAGES = 4096
 
 _LETTER_VECTORS: dict[int, np.ndarray] = {}
 _IS_LETTER = np.zeros(0x110000, bool)
@@ -105,7 +108,7 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """One unit vector per language of the given rows: languages x 1,024 numbers, however many rows."""
+    """One unit vector per language of the given rows, however many rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -118,10 +121,11 @@ def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "l
 
     partial = docs.select(F.col(text_col).alias("body"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null AND body is not null")
     places = partial.mapInArrow(run, "lang string, bundle array<bigint>").select("lang", F.posexplode("bundle").alias("place", "value"))
-    summed = places.groupBy("lang", "place").agg(F.sum("value").alias("value")).collect()
-    out: dict[str, np.ndarray] = {}
-    for r in summed:
-        out.setdefault(r["lang"], np.zeros(DIMENSIONS))[r["place"]] = r["value"]
+    summed = places.groupBy("lang", "place").agg(F.sum("value").alias("value")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "value")))["value"].alias("bundle"))
+    rows = summed.limit(MAX_LANGUAGES + 1).collect()
+    if len(rows) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} values")
+    out = {r["lang"]: np.array(r["bundle"], np.float64) for r in rows}
     return {k: v / np.linalg.norm(v) for k, v in sorted(out.items()) if v.any()}
 
 

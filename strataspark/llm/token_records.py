@@ -1,14 +1,17 @@
 """Token ids as length-delimited binary records, with an offset index.
 
-A record is framed as: payload length (8 bytes), masked checksum of those 8 bytes (4), payload, masked checksum of the
-payload (4), a line feed. The checksum is CRC-32, masked by a rotation of 15 bits and a constant, so that data which
-itself holds checksums stays safe. The payload is the document id (8 bytes, signed), flags (1: bit 0 an id is present,
+The format is this library's own, and so are its readers. A record is framed as: payload length (8 bytes), masked checksum
+of those 8 bytes (4), payload, masked checksum of the payload (4), a line feed. The checksum is CRC-32 (not the CRC-32C of
+other record formats), masked by a rotation of 15 bits and a constant, so that data which itself holds checksums stays
+safe. The payload is the document id (8 bytes, signed), flags (1: bit 0 an id is present,
 bit 1 ids take 4 bytes, else 2) and the ids. All numbers are little-endian.
 
 The files are written by Spark's text writer, whose line separator is the frame's last byte: so records go through the
-cluster's own file system and commit protocol, and a lost task leaves no half file. Files follow ascending ids: the
-rows are range-partitioned by id and sorted within. Nothing is gathered: file totals, one row a file, give each file's
-first id position.
+cluster's own file system and commit protocol, and a lost task leaves no half file. The writer takes strings, so frames
+are cast from bytes to string unchecked and written as they are; the round trip is tested on every byte value. Files
+follow ascending ids: the rows are range-partitioned by id and sorted within. Frames are handed over in runs of about
+``RUN_BYTES`` and a file holds at most ``FILE_RUNS`` of these, so a file is bounded by bytes: about 32 MB, more only by its
+records of over 256 KB. Nothing is gathered: file totals, one row a file, give each file's first id position.
 
 Defined results: a null or empty text is the end id alone; null ids come first; rows that repeat an id are all written,
 ordered by a hash of their text; an empty table gives no records. Ids must be integers. Only the named columns are read.
@@ -28,10 +31,10 @@ from pyspark.sql import functions as F
 from strataspark.llm.chunked import small_batches, texts_of
 from strataspark.llm.library_bpe import encoder, read_definition
 
-#: Fixed values of the checksum's mask, as record files of this kind have it.
+#: Fixed value of the checksum's mask.
 MASK_DELTA = 0xA282EAD8
-#: Documents in a file at most: some 50 MB at usual lengths.
-FILE_DOCUMENTS = 20_000
+#: Bytes of frames after which a run ends, with the record it is in, and runs in a file at most.
+RUN_BYTES, FILE_RUNS = 256 << 10, 128
 
 _HEAD = struct.Struct("<QI")
 _KEY = struct.Struct("<qB")
@@ -76,12 +79,19 @@ def write_records(docs: DataFrame, path: str, definition_path: str, end_id: int,
         coder = encoder(definition.value)
         for batch in small_batches(batches):
             keys, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            framed = [frame(k, ids + end) for k, ids in zip(keys, coder.encode(texts), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], names=["value"])
+            framed, size = [], 0
+            for k, ids in zip(keys, coder.encode(texts), strict=True):
+                framed.append(frame(k, ids + end))
+                size += len(framed[-1])
+                if size >= RUN_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(framed)], pa.binary())], names=["value"])
+                    framed, size = [], 0
+            if framed:
+                yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(framed)], pa.binary())], names=["value"])
 
     sorted_ = d.repartitionByRange("row_key", "tie").sortWithinPartitions("row_key", "tie")
     framed = sorted_.select("row_key", "body").mapInArrow(run, "value binary")
-    framed.select(F.col("value").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_DOCUMENTS).text(path)
+    framed.select(F.col("value").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RUNS).text(path)
 
 
 def scan_records(spark: SparkSession, path: str) -> DataFrame:
@@ -102,7 +112,7 @@ def scan_records(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    part = F.regexp_extract("path", r"part-(\d+)-", 1).cast("long") * 1_000_000 + F.regexp_extract("path", r"-c(\d+)[^/]*$", 1).cast("long")
+    part = F.regexp_extract("path", r"part-(\d+)-", 1).cast("long") * 1_000_000 + F.regexp_extract("path", r"-c(\d+)(?:\.[^/]*)?$", 1).cast("long")
     return files.select("path", part.alias("part"), "content").mapInArrow(run, INDEX)
 
 
@@ -123,7 +133,7 @@ def with_starts(index: DataFrame) -> DataFrame:
 def read_by_index(spark: SparkSession, wanted: DataFrame, path: str) -> DataFrame:
     """(row_key, ids) of some rows of the index, in any order: each file that holds one is read and cut at the offsets."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    offsets = wanted.groupBy("path").agg(F.collect_list("offset").alias("offsets"))  # at most FILE_DOCUMENTS a file
+    offsets = wanted.groupBy("path").agg(F.collect_list("offset").alias("offsets"))  # a file is bounded by bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

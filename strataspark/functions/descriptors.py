@@ -55,3 +55,23 @@ def following_segment(name: Column) -> Column:
     fits = F.length((digits.cast("long") + 1).cast("string")) <= F.length(digits)
     stem = F.regexp_replace(name, r"\d+$", "")
     return F.when((digits != "") & fits, F.concat(stem, F.right(following, F.length(digits))))
+
+
+def segment_name(stem: Column, ordinal: Column, width: int) -> Column:
+    """The name of an alphabetic segment: base 26 digits from ``a``, null beyond the width."""
+    letters = [F.chr(F.lit(97) + F.floor(ordinal / 26**k).cast("long") % 26) for k in range(width - 1, -1, -1)]
+    return F.when((ordinal >= 0) & (ordinal < 26**width), F.concat(stem, *letters))
+
+
+def first_and_next_segment(name: Column) -> Column:
+    """The second segment's name if this is the name of a set's first, else null: ``x1of5``, digits at the end (0 or 1), or
+    ``aa`` at the end of a name without a dot. The grammars are tried in that order."""
+    of = F.regexp_extract(name, r"^(.*?)(\d+)of\d+", 2)
+    total = F.regexp_extract(name, r"^.*?\d+of(\d+)", 1)
+    stem = F.regexp_extract(name, r"^(.*?)\d+of\d+", 1)
+    digits, before = F.regexp_extract(name, r"(\d+)$", 1), F.regexp_extract(name, r"^(.*\D)\d+$", 1)
+    value = digits.cast("decimal(38,0)")
+    number = F.lpad((value + 1).cast("string"), 38, "0")
+    numeric = F.when(value <= 1, F.concat(before, F.right(number, F.greatest(F.length(digits), F.length((value + 1).cast("string"))))))
+    letters = F.when(~name.contains(".") & name.endswith("aa"), F.concat(F.regexp_replace(name, "aa$", ""), F.lit("ab")))
+    return F.when(of != "", F.when((of.cast("long") == 1) & (total.cast("long") >= 1), F.concat(stem, F.lit("2of"), total))).when((digits != "") & (before != ""), numeric).otherwise(letters)

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataspark.functions.text import utf16_text
+
 #: Fixed values of the partition tables.
 MBR_SIGNATURE = "55AA"
 MBR_PROTECTIVE = "EE"
@@ -79,7 +81,7 @@ def gpt_partitions(sources: DataFrame, key: str = "source_id", head: str = "head
     rows = header.select(key, head, "entries_lba", "entry_size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_entries") - 1)).alias("index"))
     at = (F.col("entries_lba") * block + F.col("index") * F.col("entry_size")).cast("int")
     first, last = uint(data, at + 32, 8).cast("long"), uint(data, at + 40, 8).cast("long")
-    name = F.split(F.decode(field(data, at + 56, 72), "UTF-16LE"), "\u0000")[0]
+    name = utf16_text(field(data, at + 56, 72))
     decoded = rows.select(key, F.col("index").cast("int").alias("index"), (first * block).alias("byte_offset"), ((last - first + 1) * block).alias("byte_size"), guid(data, at).alias("type_code"), guid(data, at + 16).alias("unique_guid"), name.alias("name"))
     return decoded.filter(F.col("type_code") != UNUSED_GUID)
 

@@ -1,11 +1,15 @@
 """Extent maps: where the bytes behind logical offsets are.
 
-Windows are partitioned by object. ``prefix_offsets`` and ``floor_join`` can split an object into ordered parts first, so
-that one object with a third of all extents does not end in one task.
+Windows are partitioned by object. ``prefix_offsets`` and ``floor_join`` take ``split``, a non-decreasing function of the
+order, and then work on parts of an object: what a part needs of those before it, a sum or a last row, is aggregated for
+each part first, and only those few rows pass a window over the whole object. So an object with a third of all extents does
+not end in one task. ``range_parts`` derives such a split from the rows themselves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,31 +33,53 @@ def prefix_offsets(parts: DataFrame, key: str, order: list[str], length: str, sp
     return summed.withColumn("logical_offset", F.col("_first") + F.col("_own")).drop("_part", "_own", "_first")
 
 
-def floor_join(points: DataFrame, starts: DataFrame, key: str, at: str, start: str, carry: list[str]) -> DataFrame:
+def range_parts(rows: DataFrame, order: str, rows_each: int = 1_000_000) -> Callable[[Column], Column]:
+    """A split for ``rows``: ranges of ``order`` with about so many rows each, from approximate quantiles; constants in the plan."""
+    n = rows.count()
+    parts = min(10_000, n // rows_each)
+    cuts = sorted(set(rows.stat.approxQuantile(order, [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    # Position by bucket search in a constant array.
+    return lambda c: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= c)) if cuts else F.lit(0)
+
+
+def floor_join(points: DataFrame, starts: DataFrame, key: str, at: str, start: str, carry: list[str], split: Callable[[Column], Column] | None = None) -> DataFrame:
     """Each point with the ``carry`` columns of the last start at or before it; nulls where there is none.
 
-    One union and one window instead of a range join: rows stay linear in points plus starts.
+    One union and one window instead of a range join: rows stay linear in points plus starts. With ``split`` the window is
+    over parts of a key, and each part's last start is carried to the parts behind it.
     """
     held = F.struct(F.col(start).alias("_start"), *carry)
     right = starts.select(F.col(key), F.col(start).alias("_at"), F.lit(0).alias("_side"), held.alias("_held"), *(F.lit(None).cast(points.schema[c].dataType).alias(c) for c in points.columns if c not in (key,)))
     left = points.select(F.col(key), F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema["_held"].dataType).alias("_held"), *(c for c in points.columns if c not in (key,)))
-    w = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = right.unionByName(left).withColumn("_last", F.last("_held", ignorenulls=True).over(w)).filter("_side = 1")
+    both = right.unionByName(left)
+    if split is None:
+        w = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        found = both.withColumn("_last", F.last("_held", ignorenulls=True).over(w)).filter("_side = 1")
+    else:
+        both = both.withColumn("_part", split(F.col("_at")))
+        last = both.groupBy(key, "_part").agg(F.max_by("_held", F.when(F.col("_side") == 0, F.col("_at"))).alias("_end"))
+        before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = last.select(key, "_part", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+        w = Window.partitionBy(key, "_part").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        own = both.withColumn("_own", F.last("_held", ignorenulls=True).over(w)).filter("_side = 1")
+        found = own.join(carried, [key, "_part"]).withColumn("_last", F.coalesce("_own", "_carried"))
     return found.select(key, *(c for c in points.columns if c != key), F.col("_last._start").alias(start), *(F.col(f"_last.{c}").alias(c) for c in carry))
 
 
-def covering_extent(points: DataFrame, extents: DataFrame, key: str, at: str, carry: list[str]) -> DataFrame:
+def covering_extent(points: DataFrame, extents: DataFrame, key: str, at: str, carry: list[str], split: Callable[[Column], Column] | None = None) -> DataFrame:
     """Floor lookup with the end checked: points past the extent found lie in a hole and get nulls."""
-    found = floor_join(points, extents, key, at, "logical_offset", ["length", *carry])
+    found = floor_join(points, extents, key, at, "logical_offset", ["length", *carry], split)
     inside = F.col(at) < F.col("logical_offset") + F.col("length")
     return found.withColumns({c: F.when(inside, F.col(c)) for c in ["logical_offset", "length", *carry]})
 
 
 def fill_holes(extents: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
-    """(key, logical_offset, length, is_hole): the extents and the holes before, between and after them, up to ``size``."""
-    w = Window.partitionBy(key).orderBy("logical_offset")
+    """(key, logical_offset, length, is_hole): the extents and the holes before, between and after them, up to ``size``.
+
+    A hole is what no extent covers: extents may overlap or lie within others."""
+    w = Window.partitionBy(key).orderBy("logical_offset", "length").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("logical_offset") + F.col("length")
-    past = F.lag(end, 1, 0).over(w)
+    past = F.coalesce(F.max(end).over(w), F.lit(0).cast("long"))
     runs = extents.select(key, "logical_offset", "length", past.alias("past"))
     hole = F.struct(F.col("past").alias("logical_offset"), (F.col("logical_offset") - F.col("past")).alias("length"), F.lit(True).alias("is_hole"))
     own = F.struct(F.col("logical_offset"), F.col("length"), F.lit(False).alias("is_hole"))
@@ -121,3 +147,217 @@ def join_pieces(pieces: DataFrame, key: str, name: str) -> DataFrame:
     """The pieces of each key in offset order as one text. A key's pieces are one text, so a row bounds the group."""
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("offset", "piece"))), lambda x: x["piece"])
     return pieces.groupBy(key).agg(F.array_join(ordered, "").alias(name))
+
+
+def overlap_errors(extents: DataFrame, key: str) -> DataFrame:
+    """(key, logical_offset, length, reaches): the extents that start before an earlier one of their object ends; a map that
+    must not overlap has none."""
+    w = Window.partitionBy(key).orderBy("logical_offset", "length").rowsBetween(Window.unboundedPreceding, -1)
+    seen = extents.select(key, "logical_offset", "length", F.max(F.col("logical_offset") + F.col("length")).over(w).alias("reaches"))
+    return seen.filter(F.col("logical_offset") < F.col("reaches"))
+
+
+def normal_extents(extents: DataFrame, sizes: DataFrame, key: str, block: int) -> DataFrame:
+    """(key, logical_offset, length, is_hole) with a trailing hole up to the size rounded up to whole blocks."""
+    rounded = sizes.select(key, (F.ceil(F.col("size") / block) * block).cast("long").alias("size"))
+    return fill_holes(extents, rounded, key)
+
+
+def first_covering(points: DataFrame, extents: DataFrame, key: str, at: str, ordinal: str, carry: list[str]) -> DataFrame:
+    """The points with ``carry`` of the extent that covers them; of several, as extents may overlap, the one with the least
+    ordinal. Nulls in a hole.
+
+    Extents are dealt to buckets by size class: one of length n covers at most two buckets of its class's width, so a point
+    meets, in an equi-join on (key, class, bucket), only extents not much longer than its distance to them."""
+    level = lambda n: F.ceil(F.log2(F.greatest(n, F.lit(1)))).cast("int")
+    bucket = lambda x, c: F.floor(x / F.pow(F.lit(2.0), c)).cast("long")
+    e = extents.filter("length > 0").select(F.col(key).alias("_key"), F.col("logical_offset").alias("_from"), (F.col("logical_offset") + F.col("length")).alias("_to"), F.struct(ordinal, *carry).alias("_held"), level(F.col("length")).alias("_class"))
+    e = e.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_from"), F.col("_class")), bucket(F.col("_to") - 1, F.col("_class")))))
+    classes = e.select("_key", "_class").distinct().groupBy("_key").agg(F.collect_set("_class").alias("_classes"))  # at most 63 a key
+    marked = points.withColumn("_row", F.monotonically_increasing_id())
+    asked = marked.select("_row", F.col(key).alias("_k"), F.col(at).alias("_at")).join(classes, F.col("_k") == F.col("_key")).select("_row", "_k", "_at", F.explode("_classes").alias("_c"))
+    asked = asked.withColumn("_b", bucket(F.col("_at"), F.col("_c")))
+    met = asked.join(e, (F.col("_k") == F.col("_key")) & (F.col("_c") == F.col("_class")) & (F.col("_b") == F.col("_bucket")) & (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")))
+    first = met.groupBy("_row").agg(F.min_by("_held", F.col(f"_held.{ordinal}")).alias("_first"))
+    return marked.join(first, "_row", "left").select(*points.columns, *(F.col(f"_first.{c}").alias(c) for c in (ordinal, *carry)))
+
+
+def two_level_lookup(blocks: DataFrame, level1: DataFrame, level2: DataFrame, key: str) -> DataFrame:
+    """The blocks with the ``entry`` that their two tables give, null where either level has none: two equi-joins.
+
+    ``blocks`` has (key, level1, level2) as ``block_address`` gives them; ``level1`` (key, level1, table_id) and ``level2``
+    (table_id, level2, entry)."""
+    return blocks.join(level1, [key, "level1"], "left").join(level2, ["table_id", "level2"], "left")
+
+
+def qcow_state(entry: Column, cluster_bits: Column, version: Column, external: Column | None = None) -> Column:
+    """A struct (state, host_offset, stored_size) of a second-level entry: Sparse, Zero, Standard or Compressed.
+
+    Compressed entries hold an offset below and a size above a bit that follows from the cluster size; the size is in
+    sectors after the first, in version 1 in bytes."""
+    old = version == 1
+    compressed = F.when(old, F.getbit(entry, F.lit(63)) == 1).otherwise(F.getbit(entry, F.lit(62)) == 1)
+    low = F.when(old, 63 - cluster_bits).otherwise(70 - cluster_bits).cast("int")
+    plain = F.when(old, entry.bitwiseAND(F.lit((1 << 63) - 1))).otherwise(entry.bitwiseAND(F.lit((1 << 62) - 1)))
+    one = F.lit(1).cast("long")
+    shift = lambda x, n, name: F.call_function(name, x, n)
+    above = shift(plain, low, "shiftrightunsigned")
+    stored = F.when(old, above).otherwise(512 * (above + 1))
+    standard = entry.bitwiseAND(F.lit(0x00FFFFFFFFFFFE00))
+    state = (
+        F.when(entry == 0, "Sparse").when(compressed, "Compressed").when(standard > 0, "Standard").when(F.getbit(entry, F.lit(0)) == 1, "Zero")
+        .when(F.coalesce(external, F.lit(False)) if external is not None else F.lit(False), "Standard").otherwise("Sparse")
+    )
+    at = F.when(state == "Compressed", plain.bitwiseAND(shift(one, low, "shiftleft") - 1)).when(state == "Standard", standard)
+    return F.struct(state.alias("state"), at.alias("host_offset"), F.when(state == "Compressed", stored).otherwise(F.lit(None).cast("long")).alias("stored_size"))
+
+
+#: Payload states of an allocation table by the entry's low three bits; 4 is none.
+VHDX_STATES = {0: "NotPresent", 1: "Undefined", 2: "Zero", 3: "Unmapped", 5: "Unmapped", 6: "FullyPresent", 7: "PartiallyPresent"}
+
+
+def vhdx_state(entry: Column) -> Column:
+    """A struct (state, file_offset): null for a state that does not exist. Offsets are in units of a megabyte above bit 20."""
+    bits = entry.bitwiseAND(F.lit(7))
+    table = F.create_map(*(F.lit(x) for kv in VHDX_STATES.items() for x in kv))
+    return F.struct(F.try_element_at(table, bits.cast("int")).alias("state"), F.try_multiply(F.call_function("shiftrightunsigned", entry, F.lit(20)), F.lit(1 << 20)).alias("file_offset"))
+
+
+def bat_checks(entries: DataFrame, key: str, block_size: int, entry: str = "entry") -> DataFrame:
+    """(key, index, state, file_offset, reason): the payload entries of allocation tables that break a rule.
+
+    ``entries`` has (key, index, entry, disk_type, size)."""
+    e = entries.select(key, "index", "disk_type", "size", vhdx_state(F.col(entry)).alias("_s")).select(key, "index", "disk_type", "size", "_s.*")
+    stored = F.col("state").isin("FullyPresent", "PartiallyPresent")
+    reason = (
+        F.when(F.col("state").isNull(), "unknown state").when((F.col("disk_type") == "Fixed") & (F.col("state") != "FullyPresent"), "fixed image with a block that is not stored")
+        .when((F.col("disk_type") == "Dynamic") & (F.col("state") == "PartiallyPresent"), "dynamic image with a partial block").when(stored & (F.col("file_offset") < (1 << 20)), "offset in the header")
+        .when(stored & (F.col("file_offset") + block_size > F.col("size")), "block past the end").when(~stored & (F.col("file_offset") != 0), "offset of a block that is not stored")
+    )
+    return e.withColumn("reason", reason).filter("reason IS NOT NULL").select(key, "index", "state", "file_offset", "reason")
+
+
+def bitmap_slot(chunk: Column, ratio: int) -> Column:
+    """The slot of a chunk's bitmap block, which follows its ``ratio`` payload slots."""
+    return (chunk + 1) * (ratio + 1) - 1
+
+
+def sub_block_bit(bitmap: Column, index: Column, msb_first: bool = False) -> Column:
+    """Whether a sub-block is set in a BINARY bitmap, bits counted from the lowest or the highest of each byte; null past its end."""
+    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(index / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = (index % 8).cast("int")
+    return F.getbit(byte, 7 - bit if msb_first else bit) == 1
+
+
+def coalesce_extents(extents: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, logical_offset, length, physical_offset): runs of extents that continue each other in both address spaces, and
+    of holes (null physical offsets) that continue each other."""
+    w = Window.partitionBy(*keys).orderBy("logical_offset")
+    joins = (F.lag(F.col("logical_offset") + F.col("length")).over(w) == F.col("logical_offset")) & F.when(
+        F.col("physical_offset").isNull(), F.lag(F.col("physical_offset").isNull()).over(w)
+    ).otherwise(F.lag(F.col("physical_offset") + F.col("length")).over(w) == F.col("physical_offset"))
+    run = F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return extents.withColumn("_run", run).groupBy(*keys, "_run").agg(F.min("logical_offset").alias("logical_offset"), F.sum("length").alias("length"), F.min("physical_offset").alias("physical_offset")).drop("_run")
+
+
+def decode_runlists(lists: DataFrame, key: str, data: str, cluster_size: int) -> DataFrame:
+    """(key, ordinal, logical_offset, length, physical_offset, ok): runs of packed lists, null physical offsets for holes.
+
+    An element's first byte has the sizes of a count and of a signed difference to the last cluster, zero for a hole; a zero
+    byte ends the list. An element past the end, an empty count or a negative cluster ends it with ``ok`` false."""
+    state = "struct<at:int,cluster:bigint,going:boolean,runs:array<struct<clusters:bigint,cluster:bigint,ok:boolean>>>"
+    d = F.col(data)
+
+    def little(at: Column, size: Column) -> Column:
+        """An unsigned little-endian number of up to 8 bytes."""
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), F.lit(0).cast("long"), lambda v, i: F.when(i > size, v).otherwise(F.try_add(F.try_multiply(v, F.lit(256)), F.conv(F.hex(F.substring(d, at + 1 + size - i, F.lit(1))), 16, 10).cast("long"))))
+
+    def step(s: Column, _: Column) -> Column:
+        head = F.conv(F.hex(F.substring(d, s["at"] + 1, F.lit(1))), 16, 10).cast("int")
+        n, m = head.bitwiseAND(F.lit(15)), F.shiftright(head, 4)
+        clusters = little(s["at"] + 1, n)
+        raw = little(s["at"] + 1 + n, m)
+        sign = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(8 * m - 1, F.lit(0)))
+        delta = F.when(m == 0, F.lit(0)).when(m > 7, raw).when(raw >= sign, raw - 2 * sign).otherwise(raw)
+        cluster = F.try_add(s["cluster"], delta)
+        sound = (n > 0) & (s["at"] + 1 + n + m <= F.length(d)) & (clusters > 0) & (cluster >= 0)
+        run = lambda ok: F.struct(clusters.alias("clusters"), F.when(m > 0, cluster).alias("cluster"), ok.alias("ok"))
+        moved = F.struct((s["at"] + 1 + n + m).alias("at"), cluster.alias("cluster"), F.lit(True).alias("going"), F.array_append(s["runs"], run(F.lit(True))).alias("runs"))
+        ended = F.struct(s["at"].alias("at"), s["cluster"].alias("cluster"), F.lit(False).alias("going"), s["runs"].alias("runs"))
+        broken = F.struct(s["at"].alias("at"), s["cluster"].alias("cluster"), F.lit(False).alias("going"), F.array_append(s["runs"], F.struct(F.lit(None).cast("long").alias("clusters"), F.lit(None).cast("long").alias("cluster"), F.lit(False).alias("ok"))).alias("runs"))
+        return F.when(~s["going"], s).when(F.coalesce(head == 0, F.lit(True)), ended.cast(state)).when(sound, moved.cast(state)).otherwise(broken.cast(state))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("cluster"), F.lit(True).alias("going"), F.array().cast("array<struct<clusters:bigint,cluster:bigint,ok:boolean>>").alias("runs")).cast(state)
+    runs = F.aggregate(F.sequence(F.lit(0), F.greatest(F.length(d), F.lit(1)) - 1), start, step, lambda s: s["runs"])
+    rows = lists.filter(d.isNotNull()).select(key, F.posexplode(runs).alias("ordinal", "_run"))
+    w = Window.partitionBy(key).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    length = F.try_multiply(F.col("_run.clusters"), F.lit(cluster_size))
+    return rows.select(key, "ordinal", F.coalesce(F.sum(length).over(w), F.lit(0)).alias("logical_offset"), length.alias("length"), F.try_multiply(F.col("_run.cluster"), F.lit(cluster_size)).alias("physical_offset"), F.col("_run.ok").alias("ok"))
+
+
+def area_offsets(requests: DataFrame, areas: DataFrame, key: str, at: str) -> DataFrame:
+    """The requests with ``area_ordinal`` and ``area_offset``: where an offset lies in the areas laid end to end; an area of
+    size 0 has no end. Nulls past the last area."""
+    w = Window.partitionBy(key).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    laid = areas.select(key, "ordinal", F.coalesce(F.sum("size").over(w), F.lit(0)).cast("long").alias("logical_offset"), F.when(F.col("size") == 0, F.lit((1 << 62) - 1)).otherwise(F.col("size")).cast("long").alias("length"), F.col("offset").alias("_area"))
+    found = covering_extent(requests, laid, key, at, ["ordinal", "_area"])
+    return found.select(*requests.columns, F.col("ordinal").alias("area_ordinal"), (F.col("_area") + F.col(at) - F.col("logical_offset")).alias("area_offset"))
+
+
+def active_log(entries: DataFrame, key: str) -> DataFrame:
+    """The entries of each log's active sequence: the one with the largest head sequence whose head names its start as tail.
+
+    ``entries`` has (key, sequence_start, sequence, tail): a sequence is entries with one start, its head the last of them."""
+    heads = entries.groupBy(key, "sequence_start").agg(F.max("sequence").alias("_head"), F.max_by("tail", "sequence").alias("_tail"))
+    best = heads.filter(F.col("_tail") == F.col("sequence_start")).groupBy(key).agg(F.max_by("sequence_start", F.struct("_head", (-F.col("sequence_start")).alias("_s"))).alias("_active"))
+    return entries.join(best, key).filter(F.col("sequence_start") == F.col("_active")).drop("_active")
+
+
+def replayed_size(sizes: DataFrame, patches: DataFrame, key: str, offset: str, length: str) -> DataFrame:
+    """(key, size): the declared size, or where the last patch ends if that is further."""
+    ends = patches.groupBy(key).agg(F.max(F.col(offset) + F.col(length)).alias("_end"))
+    return sizes.join(ends, key, "left").select(key, F.greatest(F.col("size"), F.coalesce("_end", F.lit(0))).cast("long").alias("size"))
+
+
+def masked_offsets(reads: DataFrame, protected: DataFrame, key: str, at: str, header: int, relocated: int) -> DataFrame:
+    """The reads with ``physical_offset`` (the first ``header`` bytes are kept at ``relocated``) and ``masked``: whether the
+    place lies in a protected range, which reads as zeros. A source has few protected ranges (key, offset, length)."""
+    moved = F.when(F.col(at) < header, F.col(at) + relocated).otherwise(F.col(at))
+    ranges = protected.groupBy(key).agg(F.collect_list(F.struct("offset", "length")).alias("_ranges"))
+    inside = F.exists("_ranges", lambda r: (F.col(at) >= r["offset"]) & (F.col(at) < r["offset"] + r["length"]))
+    return reads.join(ranges, key, "left").select(*reads.columns, moved.alias("physical_offset"), F.coalesce(inside, F.lit(False)).alias("masked"))
+
+
+def request_pieces(requests: DataFrame, extents: DataFrame, key: str) -> DataFrame:
+    """(request_id, piece_offset, length, physical_offset): each request cut at the extents that it crosses; null physical
+    offsets in holes. ``requests`` has (key, request_id, offset, length), ``extents`` cover an object without overlap
+    (key, logical_offset, length, physical_offset).
+
+    Cuts are the request's start and every extent's edge inside it; each piece then lies in one extent or hole."""
+    edges = extents.select(key, F.explode(F.array(F.col("logical_offset"), F.col("logical_offset") + F.col("length"))).alias("_edge")).distinct()
+    r = requests.filter("length > 0").select(key, "request_id", "offset", (F.col("offset") + F.col("length")).alias("_end"))
+    size = lambda c: F.ceil(F.log2(F.greatest(c, F.lit(1)))).cast("int")
+    bucket = lambda x, c: F.floor(x / F.pow(F.lit(2.0), c)).cast("long")
+    dealt = r.withColumn("_class", size(F.col("_end") - F.col("offset"))).withColumn("_bucket", F.explode(F.sequence(bucket(F.col("offset"), F.col("_class")), bucket(F.col("_end") - 1, F.col("_class")))))
+    classes = dealt.select(key, "_class").distinct().groupBy(key).agg(F.collect_set("_class").alias("_classes"))  # at most 63 a key
+    met = edges.join(classes, key).select(key, "_edge", F.explode("_classes").alias("_class")).withColumn("_bucket", bucket(F.col("_edge"), F.col("_class")))
+    inner = dealt.join(met, [key, "_class", "_bucket"]).filter((F.col("_edge") > F.col("offset")) & (F.col("_edge") < F.col("_end"))).select(key, "request_id", F.col("_edge").alias("piece_offset"), "_end")
+    cuts = inner.union(r.select(key, "request_id", "offset", "_end"))
+    w = Window.partitionBy("request_id").orderBy("piece_offset")
+    pieces = cuts.withColumn("length", F.coalesce(F.lead("piece_offset").over(w), F.col("_end")) - F.col("piece_offset")).drop("_end")
+    found = covering_extent(pieces.withColumnRenamed("length", "_length"), extents, key, "piece_offset", ["physical_offset"])
+    return found.select("request_id", "piece_offset", F.col("_length").alias("length"), (F.col("physical_offset") + F.col("piece_offset") - F.col("logical_offset")).alias("physical_offset"))
+
+
+def inode_addresses(inodes: Column, inode_bits: int, block_bits: int, group_blocks: int, block_size: int, inode_size: int) -> dict[str, Column]:
+    """The parts of an inode number: allocation group, block within it, place within the block, and the byte offset."""
+    group = F.shiftright(inodes, inode_bits + block_bits).cast("long")
+    block = F.shiftright(inodes, inode_bits).bitwiseAND(F.lit((1 << block_bits) - 1))
+    place = inodes.bitwiseAND(F.lit((1 << inode_bits) - 1))
+    return {"group": group, "block": block, "place": place, "byte_offset": (group * group_blocks + block) * block_size + place * inode_size}
+
+
+def inodes_in_chunks(inodes: DataFrame, chunks: DataFrame, key: str, inode: str) -> DataFrame:
+    """The inodes with ``exists``: whether one of their key's chunks of 64, which start at ``chunk_start``, has them."""
+    found = floor_join(inodes, chunks, key, inode, "chunk_start", [])
+    return found.select(*inodes.columns, F.coalesce(F.col(inode) < F.col("chunk_start") + 64, F.lit(False)).alias("exists"))

@@ -10,34 +10,149 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataspark.functions.text import utf8_text
+from strataspark.sources.tables import Rounds
 
-def ancestors_doubled(nodes: DataFrame, node: str, parent: str, max_depth: int = 64) -> DataFrame:
+
+def ancestors_doubled(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     """(node, root, depth): pointer doubling, so a chain of n links needs log2(n) joins; roots have a null parent.
 
-    A node that reaches no root within ``max_depth`` links, as on a cycle, gets a null root.
-    """
-    now = nodes.select(F.col(node), F.col(parent).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    for _ in range(max(1, (max_depth - 1).bit_length())):
-        above = now.select(F.col(node).alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
-        joined = now.join(above, "up", "left")
-        now = joined.select(node, F.coalesce("_up", "up").alias("up"), (F.col("depth") + F.when(F.col("_up").isNull(), 0).otherwise(F.col("_depth"))).alias("depth"))
-    roots = nodes.filter(F.col(parent).isNull()).select(F.col(node).alias("_root"))
-    found = now.join(roots, F.coalesce("up", node) == F.col("_root"), "left")
-    return found.select(node, F.col("_root").alias("root"), F.when(F.col("_root").isNotNull(), F.col("depth")).alias("depth"))
-
-
-def paths(nodes: DataFrame, levels: int) -> DataFrame:
-    """(node, path): from (node, parent, name), roots with a null parent; ``levels`` joins climb one level each.
-
-    A node that is deeper than ``levels``, or on a cycle, has no path and no row.
-    """
-    up = nodes.select(F.col("node").alias("_n"), F.col("parent").alias("_p"), F.col("name").alias("_name"))
-    now = nodes.select("node", F.col("parent").alias("at"), F.concat(F.lit("/"), "name").alias("path"))
-    for _ in range(levels):
-        now = now.join(up, F.col("at") == F.col("_n"), "left").select(
-            "node", F.when(F.col("_n").isNull(), F.col("at")).otherwise(F.col("_p")).alias("at"), F.concat(F.when(F.col("_n").isNull(), "").otherwise(F.concat(F.lit("/"), "_name")), "path").alias("path")
+    Rounds are written tables and end when no further node reaches its root: those left lie on a cycle, below one, or below
+    a parent that has no row, and get a null root."""
+    rounds = Rounds(nodes.sparkSession)
+    now = rounds.write(nodes.select(F.col(node), F.col(parent).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth"), F.when(F.col(parent).isNull(), F.col(node)).alias("root")))
+    open_, before = now.filter("root IS NULL").count(), None
+    while open_ and open_ != before:
+        above = now.select(F.col(node).alias("_n"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("root").alias("_root"))
+        joined = now.join(above, F.when(F.col("root").isNull(), F.col("up")) == F.col("_n"), "left")
+        reached = F.col("_root").isNotNull() & F.col("root").isNull()
+        moved = F.col("_up").isNotNull() & F.col("root").isNull()
+        now = rounds.write(
+            joined.select(node, F.when(moved, F.col("_up")).otherwise(F.col("up")).alias("up"), (F.col("depth") + F.when(reached | moved, F.col("_depth")).otherwise(0)).alias("depth"), F.coalesce("root", "_root").alias("root"))
         )
-    return now.filter("at is null").select("node", "path")
+        before, open_ = open_, now.filter("root IS NULL").count()
+    return now.select(node, "root", F.when(F.col("root").isNotNull(), F.col("depth")).alias("depth"))
+
+
+def paths(nodes: DataFrame) -> DataFrame:
+    """(node, path): from (node, parent, name), roots with a null parent. Paths double in each round, so a tree of depth n
+    needs log2(n) joins; a node on a cycle, below one, or below a parent without a row has no path and no row."""
+    rounds = Rounds(nodes.sparkSession)
+    now = rounds.write(nodes.select("node", F.col("parent").alias("at"), F.concat(F.lit("/"), "name").alias("path")))
+    open_, before = now.filter("at IS NOT NULL").count(), None
+    while open_ and open_ != before:
+        above = now.select(F.col("node").alias("_n"), F.col("at").alias("_at"), F.col("path").alias("_path"))
+        joined = now.join(above, F.col("at") == F.col("_n"), "left")
+        found = F.col("_n").isNotNull()
+        now = rounds.write(joined.select("node", F.when(found, F.col("_at")).otherwise(F.col("at")).alias("at"), F.when(found, F.concat("_path", "path")).otherwise(F.col("path")).alias("path")))
+        before, open_ = open_, now.filter("at IS NOT NULL").count()
+    return now.filter("at IS NULL").select("node", "path")
+
+
+def all_paths(dirents: DataFrame, root: int) -> DataFrame:
+    """(node, path): every path of every node, as hard links give several; from (parent, name, node, kind). The root's own
+    path is empty and has no row. Directories have one entry each, so their paths double; other entries add one step."""
+    folders = dirents.filter("kind = 'Directory'").select("node", F.when(F.col("parent") != root, F.col("parent")).alias("parent"), "name")
+    above = paths(folders).select(F.col("node").alias("_n"), F.col("path").alias("_path"))
+    at = dirents.join(above, F.col("parent") == F.col("_n"), "left").filter((F.col("parent") == root) | F.col("_n").isNotNull())
+    return at.select("node", F.concat(F.coalesce("_path", F.lit("")), F.lit("/"), "name").alias("path"))
+
+
+def first_paths(path_rows: DataFrame) -> DataFrame:
+    """(node, path): the first path of each node in byte order."""
+    return path_rows.groupBy("node").agg(F.min("path").alias("path"))
+
+
+def nodes_by_id(requests: DataFrame, nodes: DataFrame, key: str = "node_id") -> DataFrame:
+    """Each request with the columns of its node and ``found``."""
+    n = nodes.withColumn("_there", F.lit(True)).withColumnRenamed(key, "_id")
+    return requests.join(n, F.col(key) == F.col("_id"), "left").withColumn("found", F.coalesce("_there", F.lit(False))).drop("_there", "_id")
+
+
+def read_dir(requests: DataFrame, nodes: DataFrame, dirents: DataFrame) -> DataFrame:
+    """(request_id, status, name, node_id, kind): the children of each request's ``node_id``, in no order; a request for what
+    is no directory, or not there, is one row with its status alone. An empty directory has no rows."""
+    asked = requests.join(nodes.select(F.col("node_id").alias("_id"), F.col("kind").alias("_kind")), F.col("node_id") == F.col("_id"), "left")
+    status = F.when(F.col("_id").isNull(), "NotFound").when(F.col("_kind") != "Directory", "InvalidFormat").otherwise("Ok")
+    asked = asked.select("request_id", F.col("node_id").alias("_dir"), status.alias("status"))
+    none = F.lit(None)
+    bad = asked.filter("status <> 'Ok'").select("request_id", "status", none.cast("string").alias("name"), none.cast("long").alias("node_id"), none.cast("string").alias("kind"))
+    rows = asked.filter("status = 'Ok'").join(dirents, F.col("_dir") == F.col("parent_id")).select("request_id", "status", "name", F.col("node_id").cast("long").alias("node_id"), "kind")
+    return rows.union(bad)
+
+
+def lookup_names(requests: DataFrame, dirents: DataFrame, folded: bool = False) -> DataFrame:
+    """Each request (request_id, parent_id, name) with the first child of that name, by ``ordinal``, or null; ``folded``
+    compares decomposed and case-folded names."""
+    key = folded_name if folded else (lambda c: F.col(c))
+    d = dirents.select("parent_id", key("name").alias("_name"), "node_id", "ordinal").groupBy("parent_id", "_name").agg(F.min_by("node_id", "ordinal").alias("node_id"))
+    return requests.withColumn("_name", key("name")).join(d, ["parent_id", "_name"], "left").drop("_name")
+
+
+def find_paths(requests: DataFrame, path_rows: DataFrame) -> DataFrame:
+    """Each request (request_id, path) with the node at the path, after empty components and ``.`` are dropped; ``status`` is
+    Unsupported for a path with ``..``, NotFound where nothing stands."""
+    p = path_rows.select(F.col("node").alias("node_id"), F.col("path").alias("_path"))
+    asked = requests.withColumn("_wanted", normal_path(F.col("path")))
+    joined = asked.join(p, F.col("_wanted") == F.col("_path"), "left")
+    status = F.when(F.col("_wanted").isNull(), "Unsupported").when(F.col("node_id").isNull(), "NotFound").otherwise("Ok")
+    return joined.withColumn("status", status).drop("_wanted", "_path")
+
+
+def firmlinks(path_rows: DataFrame, attributes: DataFrame, attribute: str) -> DataFrame:
+    """(node, path, target): the paths of nodes that have the attribute, whose value is the target."""
+    a = attributes.filter(F.col("name") == attribute).select("node", F.col("value").alias("target"))
+    return path_rows.join(a, "node").select("node", "path", "target")
+
+
+def overlay_roots(path_rows: DataFrame, sources: DataFrame, default: str) -> DataFrame:
+    """The paths with ``root``: the longest of ``sources`` (path) that the path equals or lies below, else the default.
+
+    A path is exploded into itself and what it lies below, which meet the sources in an equi-join: rows are linear in depth."""
+    parts = F.filter(F.split("path", "/"), lambda x: x != "")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")))
+    rows = path_rows.withColumn("_row", F.monotonically_increasing_id())
+    met = rows.select("_row", F.explode(above).alias("_p")).join(sources.select(F.col("path").alias("_p")).distinct(), "_p")
+    best = met.groupBy("_row").agg(F.max_by("_p", F.length("_p")).alias("_root"))
+    return rows.join(best, "_row", "left").withColumn("root", F.coalesce("_root", F.lit(default))).drop("_row", "_root")
+
+
+def hard_links(nodes: DataFrame, hidden: DataFrame, prefix: str) -> DataFrame:
+    """(node_id, target_id, size): visible nodes with their target's size where they link to one. Hidden directories, their
+    children, and nodes whose name starts with ``prefix`` are left out.
+
+    ``nodes`` has (node_id, parent_id, name, size, link_id: null if it is no link), ``hidden`` (node_id)."""
+    target = nodes.select(F.col("node_id").alias("target_id"), F.col("size").alias("_size"))
+    shown = nodes.filter(~F.col("name").startswith(prefix))
+    for column in ("node_id", "parent_id"):
+        shown = shown.join(hidden.select(F.col("node_id").alias("_hidden")), F.col(column) == F.col("_hidden"), "left_anti")
+    joined = shown.join(target, F.col("link_id") == F.col("target_id"), "left")
+    return joined.select("node_id", "target_id", F.coalesce("_size", "size").alias("size"))
+
+
+def children_by_scan(requests: DataFrame, indexed: DataFrame, records: DataFrame) -> DataFrame:
+    """(node_id, name, child_id, from_index): the children of each node from its index, or from all records where it has none.
+
+    ``indexed`` and ``records`` have (parent_id, name, child_id); a node of ``requests`` is (node_id, has_index)."""
+    one = requests.filter("has_index").join(indexed, F.col("node_id") == F.col("parent_id")).select("node_id", "name", "child_id", F.lit(True).alias("from_index"))
+    return one.union(requests.filter("NOT has_index").join(records, F.col("node_id") == F.col("parent_id")).select("node_id", "name", "child_id", F.lit(False).alias("from_index")))
+
+
+def merged_attributes(own: DataFrame, extensions: DataFrame) -> DataFrame:
+    """(node_id, kind, name, record): the attributes of a node's base record and of the records that its list names, each once,
+    with the least record that has it. ``own`` has (node_id, kind, name), ``extensions`` also (record)."""
+    every = own.withColumn("record", F.col("node_id")).select("node_id", "kind", "name", "record").union(extensions.select("node_id", "kind", "name", "record"))
+    return every.groupBy("node_id", "kind", "name").agg(F.min("record").alias("record"))
+
+
+def symlink_targets(links: DataFrame, stored: DataFrame, attributes: DataFrame, attribute: str) -> DataFrame:
+    """(node_id, target): text inside the node, else what is stored in its data, else the attribute; up to the first NUL.
+
+    ``links`` has (node_id, inline), ``stored`` (node_id, data), ``attributes`` (node_id, name, value); all bytes."""
+    text = lambda c: F.nullif(F.get(F.split(utf8_text(F.col(c)), "\u0000"), F.lit(0)), F.lit(""))
+    a = attributes.filter(F.col("name") == attribute).select("node_id", "value")
+    joined = links.join(stored.select("node_id", "data"), "node_id", "left").join(a, "node_id", "left")
+    return joined.select("node_id", F.coalesce(text("inline"), text("data"), text("value")).alias("target"))
 
 
 def normal_path(path: Column) -> Column:

@@ -6,33 +6,16 @@ so on. Every query runs over whole tables through the operators of this package.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspark.functions.text import canonical_id, flag_names, zipped_header
 from strataspark.operators import extents, namespace, probe, streams, versions, volumes
 from strataspark.operators.probe import Signature
+from strataspark.plans import evidence  # noqa: F401 - registers its queries
+from strataspark.plans.registry import ORACLE_SQL, QUERIES, query, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 # --- probing -------------------------------------------------------------------------------------------------------
 
@@ -142,10 +125,10 @@ def q_extent_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_MAP + """,
 k AS (SELECT * FROM m WHERE l_linenumber % 3 <> 0),
 s AS (SELECT l_orderkey, sum(length) AS size FROM m GROUP BY l_orderkey),
-b AS (SELECT l_orderkey, logical_offset, length, coalesce(lag(logical_offset + length) OVER (PARTITION BY l_orderkey ORDER BY logical_offset), 0) AS past FROM k),
+b AS (SELECT l_orderkey, logical_offset, length, coalesce(max(logical_offset + length) OVER (PARTITION BY l_orderkey ORDER BY logical_offset, length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past FROM k),
 t AS (SELECT s.l_orderkey, size, coalesce(max(logical_offset + length), 0) AS covered FROM s LEFT JOIN k USING (l_orderkey) GROUP BY s.l_orderkey, size)
 SELECT l_orderkey, logical_offset, length, false AS is_hole FROM k
-UNION ALL SELECT l_orderkey, past, logical_offset - past, true FROM b WHERE logical_offset > past
+UNION ALL SELECT l_orderkey, CAST(past AS BIGINT), CAST(logical_offset - past AS BIGINT), true FROM b WHERE logical_offset > past
 UNION ALL SELECT l_orderkey, CAST(covered AS BIGINT), CAST(size - covered AS BIGINT), true FROM t WHERE size > covered
 """)
 def q_extent_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +230,7 @@ SELECT x.o_custkey, x.o_orderkey AS a, y.o_orderkey AS b FROM s x JOIN s y
   ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey AND x."start" < y."end" AND y."start" < x."end"
 """)
 def q_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return volumes.overlapping_pairs(order_spans(spark, sf_dir), "o_custkey", "o_orderkey", width=64)
+    return volumes.overlapping_pairs(order_spans(spark, sf_dir), "o_custkey", "o_orderkey")
 
 
 @query(_SPANS + """
@@ -276,9 +259,9 @@ SELECT o_orderkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS actual, o_
 GROUP BY o_orderkey HAVING sum(CAST(l_quantity AS BIGINT)) > o_orderkey % 200
 """)
 def q_bounds_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    actual = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("actual"))
-    joined = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 200).alias("declared")).join(actual, F.col("o_orderkey") == F.col("l_orderkey"))
-    return joined.filter("actual > declared").select("o_orderkey", "actual", "declared")
+    spans = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_quantity").cast("long")).alias("end"))
+    limits = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 200).alias("limit"))
+    return volumes.out_of_bounds(spans, limits, "o_orderkey").select("o_orderkey", F.col("end").alias("actual"), F.col("limit").alias("declared"))
 
 
 @query("""
@@ -330,7 +313,7 @@ def q_asof_floor_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The version is chosen first; whether it is deleted is asked after."""
     wanted = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("oid"), F.col("o_orderkey").alias("xid"))
     kept = table(spark, sf_dir, "events").select(F.col("user_id").alias("oid"), F.col("event_id").alias("version"), (F.col("event_type") == "error").alias("deleted"))
-    return extents.floor_join(wanted, kept, "oid", "xid", "version", ["deleted"]).filter("NOT deleted").select("o_orderkey", "oid", "xid", "version")
+    return extents.floor_join(wanted, kept, "oid", "xid", "version", ["deleted"], extents.range_parts(kept, "version", 10_000)).filter("NOT deleted").select("o_orderkey", "oid", "xid", "version")
 
 
 @query("""
@@ -366,7 +349,8 @@ _TREE = """
 WITH RECURSIVE n AS (
   SELECT 'r' || r_regionkey AS node, NULL AS parent, r_name AS name FROM region
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation
-  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer),
+  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer
+  UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, CAST(o_orderkey AS VARCHAR) FROM orders),
 p AS (SELECT node, '/' || name AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.node, p.path || '/' || n.name FROM n JOIN p ON n.parent = p.node)
 """
 
@@ -375,19 +359,20 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region").selectExpr("concat('r', r_regionkey) AS node", "CAST(NULL AS string) AS parent", "r_name AS name")
     nation = table(spark, sf_dir, "nation").selectExpr("concat('n', n_nationkey) AS node", "concat('r', n_regionkey) AS parent", "n_name AS name")
     customer = table(spark, sf_dir, "customer").selectExpr("concat('c', c_custkey) AS node", "concat('n', c_nationkey) AS parent", "c_name AS name")
-    return region.unionByName(nation).unionByName(customer)
+    orders = table(spark, sf_dir, "orders").selectExpr("concat('o', o_orderkey) AS node", "concat('c', o_custkey) AS parent", "CAST(o_orderkey AS string) AS name")
+    return region.unionByName(nation).unionByName(customer).unionByName(orders)
 
 
 @query(_TREE + "SELECT node, path FROM p")
 def q_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return namespace.paths(tree(spark, sf_dir), levels=2)
+    return namespace.paths(tree(spark, sf_dir))
 
 
-@query(_TREE + ", w AS (SELECT node AS wanted, path FROM p WHERE node LIKE 'n%') SELECT wanted, p.node FROM w JOIN p ON p.path = w.path")
+@query(_TREE + ", w AS (SELECT node AS wanted, path FROM p) SELECT wanted, p.node FROM w JOIN p ON p.path = w.path")
 def q_resolve_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths with empty and ``.`` components, as a user may write them, resolve to the same nodes."""
-    found = namespace.paths(tree(spark, sf_dir), levels=2)
-    written = found.filter("node LIKE 'n%'").select(F.col("node").alias("wanted"), F.concat(F.lit("/."), F.regexp_replace("path", "/", "//")).alias("asked"))
+    found = namespace.paths(tree(spark, sf_dir))
+    written = found.select(F.col("node").alias("wanted"), F.concat(F.lit("/."), F.regexp_replace("path", "/", "//")).alias("asked"))
     return written.select("wanted", namespace.normal_path(F.col("asked")).alias("path")).join(found, "path").select("wanted", "node")
 
 
@@ -404,8 +389,9 @@ def q_hardlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with one content are links to one node; its path is the first of theirs."""
     path = F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"))
     content = F.coalesce("text", F.lit(""))
-    linked = table(spark, sf_dir, "documents").select(F.sha2(content, 256).alias("key"), F.md5(content).alias("content"), path.alias("path"))
-    return linked.groupBy("key", "content").agg(F.min("path").alias("path"), F.count("*").alias("links")).drop("key")
+    linked = table(spark, sf_dir, "documents").select(F.struct(F.sha2(content, 256).alias("key"), F.md5(content).alias("content")).alias("node"), path.alias("path"))
+    first, links = namespace.first_paths(linked), linked.groupBy("node").agg(F.count("*").alias("links"))
+    return first.join(links, "node").select("node.content", "path", "links")
 
 
 @query("""
@@ -419,11 +405,11 @@ def q_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", namespace.longest_prefix(path, ["/en", "/de", "/en/7", "/fr"], "System").alias("overlay"))
 
 
-@query(None)
+@query("SELECT c_custkey, lower(c_name || ' ' || c_mktsegment) AS folded FROM customer")
 def q_name_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL: DuckDB offers neither full case folding nor canonical decomposition."""
-    names = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", " ", 3).alias("name"))
-    return names.select("doc_id", namespace.folded_name("name").alias("folded"))
+    """Names of A-Z fold as in SQL; other letters are tested against a plain version."""
+    names = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(" ", "c_name", "c_mktsegment").alias("name"))
+    return names.select("c_custkey", namespace.folded_name("name").alias("folded"))
 
 
 # --- streams and aggregates ----------------------------------------------------------------------------------------
@@ -465,7 +451,7 @@ SELECT user_id, count(*) AS reads, CAST(sum(len) AS BIGINT) AS bytes, max(len) A
 """)
 def q_read_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     trace = table(spark, sf_dir, "events").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("off"), (F.col("event_id") % 512 + 1).alias("len"))
-    return streams.read_statistics(trace, "user_id", "event_id", "off", "len")
+    return streams.read_statistics(trace, "user_id", "event_id", "off", "len", split=F.floor(F.col("event_id") / 1000))
 
 
 @query("""
@@ -478,12 +464,13 @@ def q_group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, CAST(sum(CASE WHEN l_discount < 0.05 THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS covered,
-       CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS declared FROM lineitem GROUP BY l_orderkey
+SELECT o_orderkey AS l_orderkey, CAST(sum(CASE WHEN l_partkey % 100 + l_suppkey % 30 + 1 <= o_custkey % 130 THEN l_suppkey % 30 + 1 ELSE 0 END) AS BIGINT) AS covered, o_custkey % 130 AS declared,
+       sum(CASE WHEN l_partkey % 100 + l_suppkey % 30 + 1 <= o_custkey % 130 THEN l_suppkey % 30 + 1 ELSE 0 END) = o_custkey % 130 AS ok FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey
 """)
 def q_covered_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.col("l_quantity").cast("long")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.when(F.col("l_discount") < 0.05, q).otherwise(0)).alias("covered"), F.sum(q).alias("declared"))
+    blocks = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 100).alias("start"), (F.col("l_suppkey") % 30 + 1).alias("length"))
+    declared = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 130).alias("size"))
+    return streams.covered_sizes(blocks, declared, "l_orderkey", "start", "length", "size")
 
 
 @query("SELECT DISTINCT k FROM (SELECT o_custkey AS k FROM orders UNION ALL SELECT user_id FROM events)")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes that probing may look at, from either end.
 HEAD_BYTES, TAIL_BYTES = 65_536, 4_096
+#: Places of four bytes beyond the head that probes look at.
+FAR = (65_536 + 0x21C, 262_144 + 0x21C, 0x200000)
 
 
 def blob_sources(spark: SparkSession, path: str) -> DataFrame:
@@ -21,10 +23,34 @@ def blob_sources(spark: SparkSession, path: str) -> DataFrame:
 
 
 def heads(sources: DataFrame) -> DataFrame:
-    """Head and tail in place of the bytes: what probes read, materialised once per source."""
+    """Head, tail and ``far`` (offset to four bytes) in place of the bytes: what probes read, materialised once per source."""
     rest = [c for c in sources.columns if c != "bytes"]
     tail = F.expr(f"substring(bytes, greatest(length(bytes) - {TAIL_BYTES}, 0) + 1, {TAIL_BYTES})")
-    return sources.select(*rest, F.substring("bytes", 1, HEAD_BYTES).alias("head"), tail.alias("tail"))
+    far = F.create_map(*(x for at in FAR for x in (F.lit(at), F.substring("bytes", at + 1, 4))))
+    return sources.select(*rest, F.substring("bytes", 1, HEAD_BYTES).alias("head"), tail.alias("tail"), far.alias("far"))
+
+
+def slices(sources: DataFrame, ranges: DataFrame, key: str = "source_id") -> DataFrame:
+    """(the ranges' columns, bytes, n_read, complete): each range's bytes, clipped to the source. A read past the end gives no
+    bytes; ``complete`` tells whether all that was asked for is there. Ranges have (key, offset, length)."""
+    whole = sources.select(F.col(key).alias("_key"), F.col("bytes").alias("_bytes"))
+    inside = (F.col("offset") >= 0) & (F.col("offset") < F.length("_bytes"))
+    piece = F.when(inside, F.substring("_bytes", (F.col("offset") + 1).cast("int"), F.greatest(F.col("length"), F.lit(0)).cast("int"))).otherwise(F.lit(b""))
+    joined = ranges.join(whole, F.col(key) == F.col("_key"))
+    return joined.select(*ranges.columns, piece.alias("bytes")).withColumn("n_read", F.length("bytes").cast("long")).withColumn("complete", F.col("n_read") == F.col("length"))
+
+
+def segment_windows(segments: DataFrame, margin: int) -> DataFrame:
+    """(set_id, ordinal, logical_offset, length, complete_set): segments of a set behind each other without their first
+    ``margin`` bytes. A set is complete if its ordinals are 1 to the count that each segment declares.
+    Segments have (set_id, ordinal, declared, size)."""
+    w = Window.partitionBy("set_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)  # a set has few segments
+    whole = segments.groupBy("set_id").agg(
+        ((F.count("*") == F.max("declared")) & (F.min("declared") == F.max("declared")) & (F.min("ordinal") == 1) & (F.max("ordinal") == F.count("*")) & (F.count_distinct("ordinal") == F.count("*"))).alias("complete_set")
+    )
+    length = F.greatest(F.col("size") - margin, F.lit(0))
+    placed = segments.withColumn("length", length).withColumn("logical_offset", F.coalesce(F.sum("length").over(w), F.lit(0)))
+    return placed.join(whole, "set_id").select("set_id", "ordinal", "logical_offset", "length", "complete_set")
 
 
 def windows(sources: DataFrame, key: str, size: int) -> DataFrame:

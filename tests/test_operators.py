@@ -47,7 +47,7 @@ def test_zero_masks_lower_layers_and_absent_does_not(spark):
 
 def test_overlaps_touching_spans_and_wide_spans(spark):
     s = spark.createDataFrame([(1, 1, 0, 10), (1, 2, 10, 20), (1, 3, 5, 500), (2, 4, 0, 10)], "k long, id long, start long, end long")
-    assert rows(volumes.overlapping_pairs(s, "k", "id", 16)) == [(1, 1, 3), (1, 2, 3)]
+    assert rows(volumes.overlapping_pairs(s, "k", "id")) == [(1, 1, 3), (1, 2, 3)]
     assert rows(volumes.overlapping_neighbours(s, "k", "id")) == [(1, 1, 3), (1, 3, 2)]
 
 
@@ -59,8 +59,8 @@ def test_deleted_versions(spark):
 
 def test_cycles_have_no_root_and_no_path(spark):
     n = spark.createDataFrame([("r", None, "R"), ("x", "r", "X"), ("y", "x", "Y"), ("p", "q", "P"), ("q", "p", "Q")], "node string, parent string, name string")
-    assert rows(namespace.paths(n, 4)) == [("r", "/R"), ("x", "/R/X"), ("y", "/R/X/Y")]
-    got = {r["node"]: (r["root"], r["depth"]) for r in namespace.ancestors_doubled(n, "node", "parent", 8).collect()}
+    assert rows(namespace.paths(n)) == [("r", "/R"), ("x", "/R/X"), ("y", "/R/X/Y")]
+    got = {r["node"]: (r["root"], r["depth"]) for r in namespace.ancestors_doubled(n, "node", "parent").collect()}
     assert got == {"r": ("r", 0), "x": ("r", 1), "y": ("r", 2), "p": (None, None), "q": (None, None)}
 
 

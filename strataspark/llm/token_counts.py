@@ -6,8 +6,9 @@ concatenation gives exactly the two. So last[p] and count[p] = count[p - len] +
 pass stores the exact count at every prefix. A word's end has an end-of-word mark, so each prefix has two states: open
 (more follows) and ended (the text stops here).
 
-Counts are stored for each distinct chunk at each of its characters. A document's count at any prefix is the sum of its
-chunks before plus the stored count in the chunk reached, so truncation and budget questions need no encoding.
+Counts are kept for each distinct chunk at each of its characters. A document's count at any prefix is the sum of its
+chunks before plus the count in the chunk reached. ``prefix_table`` stores these counts for documents, and ``tokens_of_prefixes``
+and ``longest_prefixes`` answer truncation and budget questions from the stored table by a join, without encoding.
 
 No shuffle: documents are read once, workers hold a bounded cache. Defined results: null and empty texts have no tokens
 and no bytes; repeated rows give repeated rows; an empty table gives an empty result; very long texts are counted whole.
@@ -210,6 +211,23 @@ class PrefixCounter:
                 yield ends[a:b] - (ends[a - 1] if a else 0)
 
 
+    def prefixes(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """For each text, the count at the end of each of its prefixes of one character and more."""
+        for block in blocks(texts):
+            cut = [x.replace("\n", " ").split(" ") for x in block]
+            known = self.known.learn({c for chunks in cut for c in chunks if c})
+            for text, chunks in zip(block, cut, strict=True):
+                out, before, at = np.zeros(len(text) + 1, np.int32), 0, 0
+                for c in chunks:
+                    if c:
+                        out[at : at + len(c)] = known[c]
+                        out[at : at + len(c)] += before
+                        before = int(out[at + len(c) - 1])
+                    at += len(c) + 1
+                    out[at - 1] = before  # the white space behind
+                yield out[:-1]
+
+
 _HELD: dict[bytes, PrefixCounter] = {}
 
 
@@ -246,6 +264,40 @@ def prefix_counts(docs: DataFrame, definition_path: str, limit: int, id_col: str
     return out.withColumnRenamed("row_key", id_col)
 
 
+def prefix_table(docs: DataFrame, definition_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: the id and ``prefix_tokens``, the exact token count of each prefix, shortest first; to be written
+    and asked. An empty or null text has an empty list."""
+    d = docs.select(F.col(id_col).alias("row_key"), F.col(text_col).alias("body"))
+    kind = d.schema["row_key"].dataType.simpleString()
+    definition = docs.sparkSession.sparkContext.broadcast(Path(definition_path).read_bytes())  # the vocabulary file, under 2 MB
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(definition.value)
+        for batch in small_batches(batches, 100):
+            counts = list(counter.prefixes(texts_of(batch.column(1))))
+            ends = np.cumsum([0, *map(len, counts)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*counts, np.zeros(0, np.int32)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["row_key", "prefix_tokens"])
+
+    return d.mapInArrow(run, f"row_key {kind}, prefix_tokens array<int>").withColumnRenamed("row_key", id_col)
+
+
+def tokens_of_prefixes(table: DataFrame, questions: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The questions (id, chars) with ``n_tokens``, the count of the document's first ``chars`` characters; past its end that of
+    the whole, null for an unknown document."""
+    n = F.least(F.col("chars"), F.size("prefix_tokens")).cast("int")
+    count = F.when(n > 0, F.try_element_at("prefix_tokens", n)).when(n == 0, F.lit(0))
+    return questions.join(table.select(id_col, "prefix_tokens"), id_col, "left").withColumn("n_tokens", count).drop("prefix_tokens")
+
+
+def longest_prefixes(table: DataFrame, questions: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The questions (id, budget) with ``chars``, the length of the longest prefix of at most ``budget`` tokens; counts need not
+    grow with the prefix, so it is the last that fits."""
+    fits = F.transform("prefix_tokens", lambda v, i: F.when(v <= F.col("budget"), i + 1))
+    longest = F.when(F.col("prefix_tokens").isNotNull(), F.coalesce(F.array_max(fits), F.lit(0)))
+    return questions.join(table.select(id_col, "prefix_tokens"), id_col, "left").withColumn("chars", longest).drop("prefix_tokens")
+
+
 def tokens_at(counter: PrefixCounter, text: str, chars: int) -> int:
     """The exact token count of text[:chars], from stored counts."""
     total = 0

@@ -16,7 +16,7 @@ from strataspark.llm import byte_bpe, token_records
 from strataspark.llm.byte_bpe import MergeReplay, decode_documents, encode_documents, read_ranks
 from strataspark.llm.library_bpe import LibraryEncoder
 from strataspark.llm.packing import pack_documents, pack_histogram
-from strataspark.llm.token_counts import PrefixCounter, prefix_counts, tokens_at
+from strataspark.llm.token_counts import PrefixCounter, longest_prefixes, prefix_counts, prefix_table, tokens_at, tokens_of_prefixes
 from strataspark.llm.token_records import frame, read_by_index, unframe, with_starts, write_index, write_records
 
 RANKS, WORD, BYTE = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
@@ -99,6 +99,22 @@ def test_prefix_counts_over_documents(spark):
     assert prefix_counts(d.limit(0), WORD, 20).count() == 0
 
 
+def test_stored_prefixes_answer_truncation_and_budgets(spark):
+    library = Tokenizer.from_file(WORD)
+    texts = {i: t[:40] for i, t in enumerate(["", "one two\n three  four", " lead", "end ", *odd_texts(20)])}
+    d = spark.createDataFrame([*texts.items(), (99, None)], "doc_id long, text string")
+    stored = prefix_table(d, WORD)
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    asked = [(i, n) for i, t in texts.items() for n in (0, 1, len(t) // 2, len(t), len(t) + 5)]
+    got = tokens_of_prefixes(stored, spark.createDataFrame([*asked, (99, 3), (1000, 1)], "doc_id long, chars int")).collect()
+    assert Counter(map(tuple, got)) == Counter([*((i, n, count(texts[i][:n])) for i, n in asked), (99, 3, 0), (1000, 1, None)])
+    budgets = longest_prefixes(stored, spark.createDataFrame([(i, b) for i in texts for b in (0, 3, 1000)], "doc_id long, budget int")).collect()
+    for r in budgets:
+        t = texts[r["doc_id"]]
+        assert r["chars"] == max(n for n in range(len(t) + 1) if count(t[:n]) <= r["budget"])
+    assert prefix_table(d.limit(0), WORD).count() == 0
+
+
 def test_records_round_trip_and_notice_damage(spark, tmp_path):
     d, library = docs(spark), Tokenizer.from_file(WORD)
     write_records(d, f"{tmp_path}/r", WORD, end_id=1)

@@ -27,6 +27,13 @@ def field(data: Column, offset: int | Column, size: int) -> Column:
     return F.substring(data, start + 1, F.lit(size))
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that are evaluated once for each row: a generator of one row stands between them and their uses, so the
+    optimiser does not copy long expressions into every use or filter. No shuffle."""
+    made = df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_once"))
+    return made.select(*(f"`{c}`" for c in df.columns), *(F.col("_once").getField(n).alias(n) for n in columns))
+
+
 def uint(data: Column, offset: int | Column, size: int, big: bool = False) -> Column:
     """An unsigned integer of up to 8 bytes as DECIMAL(20,0), up to 7 bytes as BIGINT; null past the end of the data."""
     raw = F.hex(field(data, offset, size))

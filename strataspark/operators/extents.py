@@ -1,8 +1,8 @@
 """Extent maps: where the bytes behind logical offsets are.
 
-Windows are partitioned by object. ``prefix_offsets`` and ``floor_join`` take ``split``, a non-decreasing function of the
-order, and then work on parts of an object: what a part needs of those before it, a sum or a last row, is aggregated for
-each part first, and only those few rows pass a window over the whole object. So an object with a third of all extents does
+Windows are partitioned by object. Where one is needed over all of an object's rows, operators take ``split``, a
+non-decreasing function of the order, and then work on parts of an object: what a part needs of those before or behind it, a
+sum, a maximum, a first or last row, is aggregated for each part, and only those few rows pass a window over the whole object. So an object with a third of all extents does
 not end in one task. ``range_parts`` derives such a split from the rows themselves.
 """
 
@@ -14,6 +14,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+Split = Callable[[Column], Column]
+
+
+def _max_before(rows: DataFrame, key: str, order: list[str], value: Column, split: Split | None, name: str) -> DataFrame:
+    """Adds the largest value of the rows before, in ``order``, within ``key``; null for the first."""
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    if split is None:
+        return rows.withColumn(name, F.max(value).over(before(Window.partitionBy(key).orderBy(*order))))
+    cut = rows.withColumn("_part", split(F.col(order[0])))
+    carried = cut.groupBy(key, "_part").agg(F.max(value).alias("_most")).select(key, "_part", F.max("_most").over(before(Window.partitionBy(key).orderBy("_part"))).alias("_carried"))
+    own = cut.withColumn("_own", F.max(value).over(before(Window.partitionBy(key, "_part").orderBy(*order))))
+    return own.join(carried, [key, "_part"]).withColumn(name, F.greatest("_own", "_carried")).drop("_part", "_own", "_carried")
+
+
+def following_rows(rows: DataFrame, key: str, order: list[str], values: dict[str, str], split: Split | None = None) -> DataFrame:
+    """Adds columns with values of the next row, in ``order``, within ``key``; nulls for the last."""
+    held = F.struct(*(F.col(c).alias(name) for name, c in values.items()))
+    if split is None:
+        seen = rows.withColumn("_next", F.lead(held).over(Window.partitionBy(key).orderBy(*order)))
+        return seen.select(*rows.columns, *(F.col(f"_next.{n}").alias(n) for n in values))
+    cut = rows.withColumn("_part", split(F.col(order[0])))
+    firsts = cut.groupBy(key, "_part").agg(F.min_by(held, F.struct(*order)).alias("_first"))
+    carried = firsts.select(key, "_part", F.lead("_first").over(Window.partitionBy(key).orderBy("_part")).alias("_carried"))
+    own = cut.withColumn("_own", F.lead(held).over(Window.partitionBy(key, "_part").orderBy(*order))).join(carried, [key, "_part"])
+    return own.withColumn("_next", F.coalesce("_own", "_carried")).select(*rows.columns, *(F.col(f"_next.{n}").alias(n) for n in values))
+
+
 def prefix_offsets(parts: DataFrame, key: str, order: list[str], length: str, split: Column | None = None) -> DataFrame:
     """Adds ``logical_offset``: the sum of the lengths before, in ``order``, within ``key``.
 
@@ -33,7 +60,7 @@ def prefix_offsets(parts: DataFrame, key: str, order: list[str], length: str, sp
     return summed.withColumn("logical_offset", F.col("_first") + F.col("_own")).drop("_part", "_own", "_first")
 
 
-def range_parts(rows: DataFrame, order: str, rows_each: int = 1_000_000) -> Callable[[Column], Column]:
+def range_parts(rows: DataFrame, order: str, rows_each: int = 1_000_000) -> Split:
     """A split for ``rows``: ranges of ``order`` with about so many rows each, from approximate quantiles; constants in the plan."""
     n = rows.count()
     parts = min(10_000, n // rows_each)
@@ -42,7 +69,7 @@ def range_parts(rows: DataFrame, order: str, rows_each: int = 1_000_000) -> Call
     return lambda c: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= c)) if cuts else F.lit(0)
 
 
-def floor_join(points: DataFrame, starts: DataFrame, key: str, at: str, start: str, carry: list[str], split: Callable[[Column], Column] | None = None) -> DataFrame:
+def floor_join(points: DataFrame, starts: DataFrame, key: str, at: str, start: str, carry: list[str], split: Split | None = None) -> DataFrame:
     """Each point with the ``carry`` columns of the last start at or before it; nulls where there is none.
 
     One union and one window instead of a range join: rows stay linear in points plus starts. With ``split`` the window is
@@ -66,21 +93,19 @@ def floor_join(points: DataFrame, starts: DataFrame, key: str, at: str, start: s
     return found.select(key, *(c for c in points.columns if c != key), F.col("_last._start").alias(start), *(F.col(f"_last.{c}").alias(c) for c in carry))
 
 
-def covering_extent(points: DataFrame, extents: DataFrame, key: str, at: str, carry: list[str], split: Callable[[Column], Column] | None = None) -> DataFrame:
+def covering_extent(points: DataFrame, extents: DataFrame, key: str, at: str, carry: list[str], split: Split | None = None) -> DataFrame:
     """Floor lookup with the end checked: points past the extent found lie in a hole and get nulls."""
     found = floor_join(points, extents, key, at, "logical_offset", ["length", *carry], split)
     inside = F.col(at) < F.col("logical_offset") + F.col("length")
     return found.withColumns({c: F.when(inside, F.col(c)) for c in ["logical_offset", "length", *carry]})
 
 
-def fill_holes(extents: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+def fill_holes(extents: DataFrame, sizes: DataFrame, key: str, split: Split | None = None) -> DataFrame:
     """(key, logical_offset, length, is_hole): the extents and the holes before, between and after them, up to ``size``.
 
     A hole is what no extent covers: extents may overlap or lie within others."""
-    w = Window.partitionBy(key).orderBy("logical_offset", "length").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("logical_offset") + F.col("length")
-    past = F.coalesce(F.max(end).over(w), F.lit(0).cast("long"))
-    runs = extents.select(key, "logical_offset", "length", past.alias("past"))
+    runs = _max_before(extents.select(key, "logical_offset", "length"), key, ["logical_offset", "length"], end, split, "past").withColumn("past", F.coalesce("past", F.lit(0).cast("long")))
     hole = F.struct(F.col("past").alias("logical_offset"), (F.col("logical_offset") - F.col("past")).alias("length"), F.lit(True).alias("is_hole"))
     own = F.struct(F.col("logical_offset"), F.col("length"), F.lit(False).alias("is_hole"))
     body = runs.select(key, F.inline(F.filter(F.array(hole, own), lambda x: x["length"] > 0)))
@@ -131,10 +156,10 @@ def last_writer(patches: DataFrame, keys: list[str], sequence: str, value: str)
     return patches.groupBy(*keys).agg(F.max(F.struct(sequence, value)).alias("_last")).select(*keys, "_last.*")
 
 
-def stored_sizes(chunks: DataFrame, key: str, order: list[str], offset: str, end: str) -> DataFrame:
+def stored_sizes(chunks: DataFrame, key: str, order: list[str], offset: str, end: str, split: Split | None = None) -> DataFrame:
     """Adds ``stored_size``: the next chunk's offset, or the data's end for the last, minus this one's."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return chunks.withColumn("stored_size", F.coalesce(F.lead(offset).over(w), F.col(end)) - F.col(offset))
+    placed = following_rows(chunks, key, order, {"_offset": offset}, split)
+    return placed.withColumn("stored_size", F.coalesce("_offset", F.col(end)) - F.col(offset)).drop("_offset")
 
 
 def split_text(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -149,18 +174,17 @@ def join_pieces(pieces: DataFrame, key: str, name: str) -> DataFrame:
     return pieces.groupBy(key).agg(F.array_join(ordered, "").alias(name))
 
 
-def overlap_errors(extents: DataFrame, key: str) -> DataFrame:
+def overlap_errors(extents: DataFrame, key: str, split: Split | None = None) -> DataFrame:
     """(key, logical_offset, length, reaches): the extents that start before an earlier one of their object ends; a map that
     must not overlap has none."""
-    w = Window.partitionBy(key).orderBy("logical_offset", "length").rowsBetween(Window.unboundedPreceding, -1)
-    seen = extents.select(key, "logical_offset", "length", F.max(F.col("logical_offset") + F.col("length")).over(w).alias("reaches"))
+    seen = _max_before(extents.select(key, "logical_offset", "length"), key, ["logical_offset", "length"], F.col("logical_offset") + F.col("length"), split, "reaches")
     return seen.filter(F.col("logical_offset") < F.col("reaches"))
 
 
-def normal_extents(extents: DataFrame, sizes: DataFrame, key: str, block: int) -> DataFrame:
+def normal_extents(extents: DataFrame, sizes: DataFrame, key: str, block: int, split: Split | None = None) -> DataFrame:
     """(key, logical_offset, length, is_hole) with a trailing hole up to the size rounded up to whole blocks."""
     rounded = sizes.select(key, (F.ceil(F.col("size") / block) * block).cast("long").alias("size"))
-    return fill_holes(extents, rounded, key)
+    return fill_holes(extents, rounded, key, split)
 
 
 def first_covering(points: DataFrame, extents: DataFrame, key: str, at: str, ordinal: str, carry: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strataspark.functions import checksums
 from strataspark.functions.text import utf8_text, utf16_text
 from strataspark.operators.decode import field as cut
-from strataspark.operators.decode import guid, ones_complement_ok, uint
+from strataspark.operators.decode import guid, once, ones_complement_ok, uint
 
 #: A field: its offset, its size in bytes and how to read it.
 Field = tuple[int, int, str]
@@ -63,7 +63,7 @@ def decode_header(sources: DataFrame, layout: Layout, data: str | Column = "head
     kept = [*keys, *(c for c in layout.needs if c not in keys)]
     bytes_ = F.col(data) if isinstance(data, str) else data
     out = sources.select(*kept, bytes_.alias("data"))
-    out = out.select(*kept, "data", *(_read(F.col("data"), *spec).alias(name) for name, spec in layout.fields.items()))
+    out = once(out, {name: _read(F.col("data"), *spec) for name, spec in layout.fields.items()})
     for name, x in layout.derived.items():
         out = out.withColumn(name, _expr(x))
     broken = [F.when(~F.coalesce(_expr(x), F.lit(False)), F.lit(name)) for name, x in layout.rules.items()]
@@ -164,7 +164,7 @@ VHDX_HEADER = Layout(
     {
         "signature": "signature = 'head'", "checksum": lambda: checksums.crc32c(zeroed(F.col("data"), 4)) == F.col("_checksum"), "format_version": "format_version = 1",
         "log_length": f"log_length > 0 AND log_length % {VHDX_ALIGNMENT} = 0", "log_offset": f"log_offset >= {VHDX_ALIGNMENT} AND log_offset % {VHDX_ALIGNMENT} = 0",
-        "reserved": "replace(hex(substring(data, 81)), '0', '') = ''",
+        "reserved": lambda: F.expr("substring(data, 81)") == F.lit(bytes(4096 - 80)),
     },
 )
 
@@ -225,7 +225,7 @@ SPARSEIMAGE = Layout(
     {"magic": (0, 4, "ascii"), "format_version": (4, 4, "be"), "band_sectors": (8, 4, "be"), "sector_count": (16, 4, "be")},
     {
         "magic": "magic = 'sprs'", "band_sectors": "band_sectors > 0", "sector_count": "sector_count > 0", "band_array": f"64 + band_count * 4 <= {SPARSEIMAGE_BLOCK}",
-        "padding": f"replace(hex(substring(data, CAST(65 + least(band_count, 1008) * 4 AS INT), CAST({SPARSEIMAGE_BLOCK} - 64 - least(band_count, 1008) * 4 AS INT))), '0', '') = ''",
+        "padding": lambda: F.expr("substring(data, CAST(65 + least(band_count, 1008) * 4 AS INT))") == F.substring(F.lit(bytes(SPARSEIMAGE_BLOCK)), F.lit(1), F.expr(f"CAST({SPARSEIMAGE_BLOCK} - 64 - least(band_count, 1008) * 4 AS INT)")),
     },
     {"band_count": "CAST(ceil(sector_count / nullif(band_sectors, 0)) AS BIGINT)", "media_size": "sector_count * 512"},
 )

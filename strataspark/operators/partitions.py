@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strataspark.functions.text import utf16_text
 from strataspark.operators import headers
-from strataspark.operators.decode import MBR_EXTENDED, MBR_PROTECTIVE, UNUSED_GUID, field, guid, uint
+from strataspark.operators.decode import MBR_EXTENDED, MBR_PROTECTIVE, UNUSED_GUID, field, guid, once, uint
 
 #: Sector sizes that are tried, in order of preference, and the most logical partitions.
 MBR_SECTORS = (512, 1024, 2048, 4096)
@@ -92,10 +92,10 @@ def mbr_candidates(sources: DataFrame, key: str = "source_id") -> DataFrame:
     head = sources.filter(F.hex(field(data, 510, 2)) == "55AA").select(key, "size", "bytes", _entries(data, F.lit(0)).alias("primary"), F.explode(F.array(*map(F.lit, MBR_SECTORS))).alias("sector"))
     role = lambda t: F.when(t == MBR_PROTECTIVE, "Protective").when(_extended(t), "Extended").otherwise("Primary")
     chains = F.transform(F.filter("primary", lambda e: _extended(e["type_code"])), lambda e: extended_chain(F.col("bytes"), e["start"], F.col("sector")))
-    walked = head.withColumn("chains", chains)
+    walked = once(head, {"chains": chains})
     span = lambda e, r: F.struct(e["type_code"].alias("type_code"), r.alias("role"), (e["start"] * F.col("sector")).alias("byte_offset"), (e["sectors"] * F.col("sector")).alias("byte_size"))
     every = F.concat(F.transform("primary", lambda e: span(e, role(e["type_code"]))), F.transform(F.flatten(F.transform("chains", lambda c: c["found"])), lambda e: span(e, F.lit("Logical"))))
-    laid = walked.withColumn("partitions", F.transform(every, lambda p, i: F.struct(i.alias("index"), *(p[c].alias(c) for c in ("type_code", "role", "byte_offset", "byte_size")))))
+    laid = once(walked, {"partitions": F.transform(every, lambda p, i: F.struct(i.alias("index"), *(p[c].alias(c) for c in ("type_code", "role", "byte_offset", "byte_size"))))})
     end = lambda p: p["byte_offset"] + p["byte_size"]
     inside = F.forall("partitions", lambda p: end(p) <= F.col("size"))
     extended = F.filter("partitions", lambda p: p["role"] == "Extended")
@@ -112,7 +112,8 @@ def mbr_candidates(sources: DataFrame, key: str = "source_id") -> DataFrame:
         .when(p["role"] == "Protective", F.when(gpt[0] == b"EFI PART", 40).otherwise(0))
         .otherwise(_evidence(F.col("bytes"), p)),
     )
-    scored = laid.withColumn("ok", F.forall("chains", lambda c: c["ok"]) & inside & contained & ~overlaps).withColumn("logical", logical).withColumn("_score", score)
+    scored = laid.withColumn("ok", F.forall("chains", lambda c: c["ok"]) & inside & contained & ~overlaps).withColumn("logical", logical)
+    scored = once(scored, {"_score": score})
     recognised = F.size(F.filter(F.arrays_zip("partitions", "_score"), lambda z: (z["_score"] > 0) & (z["partitions"]["role"] != "Extended")))
     evidence = F.aggregate("_score", F.lit(0), lambda s, x: s + x) + 2 * F.size("partitions") + 10 * F.col("logical")
     return scored.select(key, "sector", "partitions", "ok", evidence.alias("evidence"), "logical", recognised.alias("recognised"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.functions.text import canonical_id
+from strataspark.operators.extents import Split, following_rows
 
 
 def overlapping_pairs(spans: DataFrame, key: str, span: str, exempt: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None) -> DataFrame:
@@ -65,10 +66,9 @@ def resolved_names(segments: DataFrame, physical: DataFrame, key: str, wanted: C
     return joined.select(*segments.columns, F.coalesce("_pv", "_sole").alias("pv"))
 
 
-def overlapping_neighbours(spans: DataFrame, key: str, span: str) -> DataFrame:
+def overlapping_neighbours(spans: DataFrame, key: str, span: str, split: Split | None = None) -> DataFrame:
     """(key, a, b): spans that reach past the start of the next one in start order."""
-    w = Window.partitionBy(key).orderBy("start", span)
-    following = spans.select(key, F.col(span).alias("a"), F.lead(span).over(w).alias("b"), "end", F.lead("start").over(w).alias("next_start"))
+    following = following_rows(spans.select(key, F.col(span).alias("a"), "start", "end"), key, ["start", "a"], {"b": "a", "next_start": "start"}, split)
     return following.filter("next_start < end").select(key, "a", "b")
 
 

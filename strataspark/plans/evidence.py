@@ -127,14 +127,14 @@ def q_header_vhd_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH h AS (SELECT o_orderkey AS source_id, i AS copy, o_custkey % 3 + i AS sequence, (o_orderkey + i) % 4 > 0 AS ok FROM orders, (VALUES (0), (1)) c(i))
+WITH h AS (SELECT p_partkey AS source_id, i AS copy, p_size % 3 + i AS sequence, (p_partkey + i) % 4 > 0 AS ok FROM part, (VALUES (0), (1)) c(i))
 SELECT source_id, arg_max(copy, sequence * 2 - copy) AS copy, max(sequence) AS sequence FROM h WHERE ok GROUP BY source_id
 """)
 def q_header_vhdx_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two copies of a header, some with a wrong log length: the valid one with the larger sequence, the first on a tie."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"), "o_custkey")
+    o = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"), "p_size")
     length = F.when((F.col("source_id") + F.col("copy")) % 4 > 0, F.lit(1 << 20)).otherwise(F.lit(5))
-    head = blob(4096, {0: (b"head", 4), 8: (le(F.col("o_custkey") % 3 + F.col("copy"), 8), 8), 66: (le(1, 2), 2), 68: (le(length, 4), 4), 72: (le(1 << 20, 8), 8)})
+    head = blob(4096, {0: (b"head", 4), 8: (le(F.col("p_size") % 3 + F.col("copy"), 8), 8), 66: (le(1, 2), 2), 68: (le(length, 4), 4), 72: (le(1 << 20, 8), 8)})
     summed = o.select("source_id", "copy", head.alias("plain")).withColumn("crc", checksums.crc32c("plain"))
     stored = F.concat(F.substring("plain", 1, 4), le(F.col("crc"), 4), F.expr("substring(plain, 9)"))
     found = headers.decode_header(summed.select("source_id", "copy", stored.alias("head")), headers.VHDX_HEADER, keys=("source_id", "copy")).filter("ok")
@@ -294,19 +294,19 @@ def q_lvm_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT p_partkey AS source_id, CASE p_partkey % 3 WHEN 0 THEN 'Fixed' WHEN 1 THEN 'ToGo' END AS flavor, CASE p_partkey % 3 WHEN 1 THEN 84 ELSE CASE WHEN p_size % 2 = 0 THEN 7 ELSE 6 END END AS version,
-  CAST(CASE WHEN p_partkey % 3 = 1 THEN 111 WHEN p_size % 2 = 0 THEN p_partkey ELSE p_size * 4096 END AS BIGINT) AS first_offset FROM part WHERE p_partkey % 3 < 2
+  CAST(CASE WHEN p_partkey % 3 = 1 THEN 111 WHEN p_size % 2 = 0 THEN p_partkey + 1 ELSE p_size * 4096 END AS BIGINT) AS first_offset FROM part WHERE p_partkey % 3 < 2
 """)
 def q_header_bitlocker(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").filter("p_partkey % 3 < 2")
     oem = F.when(F.col("p_partkey") % 3 == 0, F.lit(b"-FVE-FS-")).otherwise(F.lit(b"MSWIN4.1"))
-    head = blob(512, {3: (oem, 8), 11: (le(512, 2), 2), 13: (le(8, 1), 1), 32: (le(1000, 4), 4), 56: (le(F.col("p_size"), 8), 8), 176: (le(F.when(F.col("p_size") % 2 == 0, F.col("p_partkey")).otherwise(0), 8), 8), 440: (le(111, 8), 8), 510: (b"\x55\xaa", 2)})
+    head = blob(512, {3: (oem, 8), 11: (le(512, 2), 2), 13: (le(8, 1), 1), 32: (le(1000, 4), 4), 56: (le(F.col("p_size"), 8), 8), 176: (le(F.when(F.col("p_size") % 2 == 0, F.col("p_partkey") + 1).otherwise(0), 8), 8), 440: (le(111, 8), 8), 510: (b"\x55\xaa", 2)})
     found = headers.decode_header(p.select(F.col("p_partkey").alias("source_id"), head.alias("head")), headers.BITLOCKER).filter("ok")
     return found.select("source_id", "flavor", "version", F.col("metadata_offsets")[0].cast("long").alias("first_offset"))
 
 
 @query("""
 SELECT p_partkey AS source_id, CASE p_partkey % 3 WHEN 0 THEN 'ext4' WHEN 1 THEN 'ext3' ELSE 'ext2' END AS variant, CAST(1024 << CAST(p_partkey % 4 AS INTEGER) AS BIGINT) AS block_size,
-  CAST(p_partkey AS BIGINT) AS blocks, CAST(ceil(p_partkey / 100.0) AS BIGINT) AS groups, p_size >= 10 AS ok FROM part
+  CAST(p_partkey AS BIGINT) AS blocks, CAST(ceil(p_partkey / 100.0) AS BIGINT) AS groups, p_size >= 10 AND p_partkey > 0 AS ok FROM part
 """)
 def q_header_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
@@ -745,8 +745,8 @@ def q_log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderkey, o_custkey AS at, CASE WHEN o_custkey < 50 THEN o_custkey + 100000 ELSE o_custkey END AS physical_offset, (o_custkey >= 200 AND o_custkey < 300) OR (o_custkey >= 500 AND o_custkey < 510) AS masked FROM orders
 """)
 def q_masked_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reads = table(spark, sf_dir, "orders").select(F.lit(1).alias("v"), "o_orderkey", F.col("o_custkey").alias("at"))
-    protected = spark.createDataFrame([(1, 200, 100), (1, 500, 10)], "v int, offset long, length long")
+    reads = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 2).alias("v"), "o_orderkey", F.col("o_custkey").alias("at"))
+    protected = spark.createDataFrame([(v, at, n) for v in (0, 1) for at, n in ((200, 100), (500, 10))], "v long, offset long, length long")
     return extents.masked_offsets(reads, protected, "v", "at", 50, 100_000).drop("v")
 
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataspark.functions import checksums, descriptors, text
-from strataspark.operators import chains, extents, headers, namespace, partitions, probe, signatures, versions
+from strataspark.operators import chains, extents, headers, namespace, partitions, probe, signatures, versions, volumes
 from strataspark.plans.samples import SAMPLES, mbr_entry
 from strataspark.sources import blobs
 
@@ -233,3 +233,20 @@ def test_snapshots_that_tie_are_ambiguous(spark):
     s = spark.createDataFrame([(1, "a", None), (1, "b", "a"), (1, "c", "a"), (2, "d", None), (2, "e", "d")], "i long, node string, parent string")
     got = rows(versions.active_snapshots(s, namespace.ancestors_doubled(s, "node", "parent"), ["i"], "node", "parent"))
     assert got == [(1, None, True), (2, "e", False)]
+
+
+def test_windows_in_parts_are_whole_windows(spark):
+    """Objects whose extents are sorted in ranges give what they give whole."""
+    rng = np.random.default_rng(3)
+    e = spark.createDataFrame([(int(k), int(o), int(n), i) for i, (k, o, n) in enumerate(zip(rng.integers(0, 3, 300), rng.integers(0, 5000, 300), rng.integers(1, 60, 300), strict=True))], "k long, logical_offset long, length long, id long")
+    sizes = spark.createDataFrame([(k, 6000) for k in range(4)], "k long, size long")
+    split = extents.range_parts(e, "logical_offset", 25)
+    assert rows(extents.fill_holes(e, sizes, "k", split)) == rows(extents.fill_holes(e, sizes, "k"))
+    assert rows(extents.overlap_errors(e, "k", split)) == rows(extents.overlap_errors(e, "k"))
+    ends = e.withColumn("e", F.lit(6000))
+    order = ["logical_offset", "id"]
+    assert rows(extents.stored_sizes(ends, "k", order, "logical_offset", "e", split)) == rows(extents.stored_sizes(ends, "k", order, "logical_offset", "e"))
+    spans = e.selectExpr("k", "id", "logical_offset AS start", "logical_offset + length AS end")
+    assert rows(volumes.overlapping_neighbours(spans, "k", "id", split)) == rows(volumes.overlapping_neighbours(spans, "k", "id"))
+    pairs = {(k, min(a, b), max(a, b)) for k, a, s, t in spans.collect() for q, b, u, v in spans.collect() if k == q and a != b and s < v and u < t}
+    assert set(map(tuple, volumes.overlapping_pairs(spans, "k", "id").collect())) == pairs and volumes.overlapping_pairs(spans, "k", "id").count() == len(pairs)

@@ -13,9 +13,9 @@ No bucket is expanded into all its pairs:
 2. In each bucket all members are paired with its smallest one only. Verified links give first components.
 3. A link that step 2 cannot have seen joins two different components within a bucket, so only buckets that still hold
    several components go on. From large ones go the members that cannot reach the threshold there, since too many of
-   their shingles are in no other set; in a group of near copies these are nearly all that link with nothing.
-4. Pivot rounds in large buckets: each member outside the bucket's largest component meets one member of it, chosen by
-   hash for each bucket. Rounds are linear, and go on while they join a fair share of what is left.
+   their shingles are in no other set.
+4. Pivot rounds in buckets of more than a block's rows: each member outside the bucket's largest component meets one
+   member of it, chosen by hash for each bucket. Rounds are linear, and go on while they join a fair share of what is left.
 5. The rest of the large buckets is compared block by block on the full sets, members outside the largest component
    against all, each pair in the first band it shares only; a task's links leave it as a forest, so there are fewer than
    its rows. In small buckets a bit sketch discards pairs far below the threshold inside the join, and what passes is
@@ -298,22 +298,25 @@ def _late_links(members: DataFrame, roots: DataFrame, reps: DataFrame, sets: Dat
     large = held.filter(F.col("size") >= LARGE)
     gone = _out_of_reach(large.select("id").distinct(), reps, sets, percent)
     # In a large bucket alone: elsewhere such a member may still have partners that are not among the large buckets' members.
-    held = _open_members(held.join(gone.withColumn("large", F.lit(True)), "id", "left").filter((F.col("size") < LARGE) | F.col("large").isNull()), roots)
+    left_in = held.join(gone.withColumn("large", F.lit(True)), "id", "left").filter((F.col("size") < LARGE) | F.col("large").isNull())
+    former, held = held, materialise(left_in.drop("large"), "open-members")
+    discard(former)
     before = None
     while True:
-        large = held.filter(F.col("size") >= LARGE)
-        left = large.filter("comp <> major").select("id").distinct().count()
+        wide = held.filter(F.col("size") > BLOCK_ROWS)
+        left = wide.filter("comp <> major").select("id").distinct().count()
         if not left or (before is not None and left > WORTH * before):
             break
         before = left
-        links = _verified(_likely(_pivot_pairs(large, before), reps, percent), sets, percent)
+        links = _verified(_likely(_pivot_pairs(wide, before), reps, percent), sets, percent)
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
         former, held = held, _open_members(held, roots)
         discard(former)
     lane = [f"s{i}" for i in range(WORDS)]
     few = held.filter(F.col("size") < LARGE).join(reps.select("id", "n", *lane), "id")
     late = _verified(_likely(_met(few, percent), reps, percent), sets, percent)
-    if left:
+    large = held.filter(F.col("size") >= LARGE)
+    if not large.isEmpty():
         late = late.union(_block_links(large, reps, sets, percent))
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late))
 
@@ -351,7 +354,7 @@ def _out_of_reach(wanted: DataFrame, reps: DataFrame, sets: DataFrame, percent:
     parts = np.uint64(1 + 2 * total // PART_BYTES)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 500):
             lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
             owner = np.repeat(batch.column(0).to_numpy(), [len(x) for x in lists])
             hashes, at, times = np.unique(np.concatenate([*lists, np.zeros(0, np.uint64)]), return_index=True, return_counts=True)
